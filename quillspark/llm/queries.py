@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.fuse import fuse_scores
+from quillspark.llm.pack import pack_texts
+from quillspark.llm.pieces import split_texts
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
+from quillspark.llm.truncation import find_truncated, truncation_shares
 from quillspark.session import table
 
 
@@ -43,6 +46,32 @@ def _p6_found(spark: SparkSession, d: str) -> DataFrame:
     return fuse_scores(table(spark, d, "search_hits")).filter("place <= 5").select("query_id", "doc_id")
 
 
+def _p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(table(spark, d, "documents"), with_text=False).filter("piece_no = 0").select("doc_id", "kind")
+
+
+def _p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(table(spark, d, "documents"))
+
+
+def _p8_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = pack_texts(table(spark, d, "documents"))
+    return packed.filter("part_no = 0 and n_parts > 1 and container is not null").select("doc_id")
+
+
+def _p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    packed = pack_texts(table(spark, d, "documents")).filter("container is not null")
+    return packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
+
+
+def _p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_truncated(table(spark, d, "documents")).filter("truncated").select("doc_id")
+
+
+def _p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_shares(find_truncated(table(spark, d, "documents")))
+
+
 QUERIES = {
     "p1_found": _p1_found,
     "p1_terms": _p1_terms,
@@ -50,4 +79,10 @@ QUERIES = {
     "p2_terms": _p2_terms,
     "p6_found": _p6_found,
     "p6_ranking": _p6_ranking,
+    "p7_found": _p7_found,
+    "p7_pieces": _p7_pieces,
+    "p8_found": _p8_found,
+    "p8_containers": _p8_containers,
+    "p10_found": _p10_found,
+    "p10_shares": _p10_shares,
 }

@@ -60,4 +60,8 @@ SELECT term, mark FROM t WHERE mark IS NOT NULL""",
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, doc_id) AS p FROM fused)
 SELECT query_id, doc_id FROM r WHERE p <= 5""",
     "p6_ranking": f"""{_fused('score', 'scale')} SELECT query_id, doc_id, round(fused, 6) AS fused, n_lists FROM fused""",
+    "p7_found": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\S{1000}\S{1000}\S') THEN 'forced' ELSE 'natural' END AS kind
+FROM documents WHERE length(text) > 2000""",
+    "p8_found": """SELECT doc_id FROM documents
+WHERE len(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{N}_]+(?:[''’-][\\p{L}\\p{N}_]+)*')) > 1024""",
 }
