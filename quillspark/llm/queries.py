@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.fuse import fuse_scores
+from quillspark.llm.leaks import find_leaks
 from quillspark.llm.pack import pack_texts
 from quillspark.llm.pieces import split_texts
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
@@ -64,6 +65,15 @@ def _p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
 
 
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def _p9_items(spark: SparkSession, d: str) -> DataFrame:
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("score").alias("longest"))
+
+
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
     return find_truncated(table(spark, d, "documents")).filter("truncated").select("doc_id")
 
@@ -83,6 +93,8 @@ QUERIES = {
     "p7_pieces": _p7_pieces,
     "p8_found": _p8_found,
     "p8_containers": _p8_containers,
+    "p9_found": _p9_found,
+    "p9_items": _p9_items,
     "p10_found": _p10_found,
     "p10_shares": _p10_shares,
 }
