@@ -138,12 +138,16 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarra
 
 
 def holds(taken: np.ndarray, edits: np.ndarray, min_words: int, one_in: int) -> bool:
-    """Whether some stretch of the path has at least min_words passage words and one edit in `one_in` at most."""
+    """Whether some stretch of the path, from an unchanged word to an unchanged word, has at least min_words
+    passage words and one edit in `one_in` at most."""
+    if not len(taken):
+        return False
     c = np.concatenate(([0], np.cumsum(taken)))
     p = c - one_in * np.concatenate(([0], np.cumsum(edits)))
-    start = np.searchsorted(c, c - min_words, "right") - 1
-    ok = start >= 0
-    return bool(np.any(p[ok] >= np.minimum.accumulate(p)[start[ok]]))
+    opens = np.where(edits == 0, p[:-1], np.iinfo(np.int32).max)
+    start = np.searchsorted(c[:-1], c[1:] - min_words, "right") - 1
+    ok = (start >= 0) & (edits == 0)
+    return bool(np.any(p[1:][ok] >= np.minimum.accumulate(opens)[start[ok]]))
 
 
 def _scan(index: SeedIndex, texts: list[str | None], min_words: int, one_in: int) -> list[tuple[int, int, int]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.fuse import fuse_scores
 from quillspark.llm.leaks import find_leaks
+from quillspark.llm.mainbody import main_lines
 from quillspark.llm.pack import pack_texts
 from quillspark.llm.pieces import split_texts
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
@@ -39,6 +40,16 @@ def _p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _p2_terms(spark, d).filter("mark is not null").select("term", "mark")
 
 
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_lines(table(spark, d, "pages"), with_text=False)
+
+
+def _p4_bodies(spark: SparkSession, d: str) -> DataFrame:
+    lines = main_lines(table(spark, d, "pages"))
+    kept = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("page_no").agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("body"))
+
+
 def _p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fuse_scores(table(spark, d, "search_hits"), by="score").select("query_id", "doc_id", F.round("fused", 6).alias("fused"), "n_lists")
 
@@ -87,6 +98,8 @@ QUERIES = {
     "p1_terms": _p1_terms,
     "p2_found": _p2_found,
     "p2_terms": _p2_terms,
+    "p4_found": _p4_found,
+    "p4_bodies": _p4_bodies,
     "p6_found": _p6_found,
     "p6_ranking": _p6_ranking,
     "p7_found": _p7_found,
