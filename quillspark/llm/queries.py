@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.fuse import fuse_scores
 from quillspark.llm.leaks import find_leaks
 from quillspark.llm.mainbody import main_lines
+from quillspark.llm.neighbours import similar_pairs
 from quillspark.llm.pack import pack_texts
 from quillspark.llm.pieces import split_texts
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
@@ -40,6 +41,11 @@ def _p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _p2_terms(spark, d).filter("mark is not null").select("term", "mark")
 
 
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(table(spark, d, "chunks"))
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return main_lines(table(spark, d, "pages"), with_text=False)
 
@@ -98,6 +104,7 @@ QUERIES = {
     "p1_terms": _p1_terms,
     "p2_found": _p2_found,
     "p2_terms": _p2_terms,
+    "p3_found": _p3_found,
     "p4_found": _p4_found,
     "p4_bodies": _p4_bodies,
     "p6_found": _p6_found,

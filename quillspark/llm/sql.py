@@ -56,6 +56,12 @@ FROM folded GROUP BY term""",
     "p2_found": f"""WITH {_LATEST},
 t AS (SELECT term, CASE WHEN count(*) <= 2 THEN 'rare' WHEN count(*) >= 0.2 * (SELECT count(*) FROM docs_meta) THEN 'common' END AS mark FROM folded GROUP BY term)
 SELECT term, mark FROM t WHERE mark IS NOT NULL""",
+    "p3_found": """WITH v AS (
+  SELECT chunk_id, model, any_value(embedding)::DOUBLE[] AS e FROM chunks
+  WHERE len(embedding) = 64 AND len([x for x in embedding if isfinite(x)]) = 64
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY chunk_id, model)
+SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b
+ON a.model IS NOT DISTINCT FROM b.model AND a.chunk_id < b.chunk_id AND list_cosine_similarity(a.e, b.e) >= 0.9""",
     "p6_found": f"""{_fused(_PLACE, '1')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, doc_id) AS p FROM fused)
 SELECT query_id, doc_id FROM r WHERE p <= 5""",
