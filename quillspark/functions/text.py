@@ -129,8 +129,29 @@ def book_name(path: Column, names: dict[str, str]) -> Column:
 
 
 def heading(book: Column, paragraph: Column) -> Column:
-    """`Book: first sentence`, the sentence cut at a word within 48 characters, 80 in all."""
-    first = F.regexp_extract(F.trim(paragraph), r"^((?s).*?[.!?])(?:\s|$)", 1)
-    first = F.when(first != "", first).otherwise(F.trim(paragraph))
-    short = F.when(F.length(first) <= 48, first).otherwise(F.regexp_extract(first, r"^((?s).{0,47}\S)(?=\s)", 1))
-    return F.substring(F.concat_ws(": ", book, short), 1, 80)
+    """`Book — first sentence`, the sentence cut at a word within 48 characters, 80 characters in all."""
+    sentence = F.split_part(F.trim(paragraph), F.lit(". "), F.lit(1))
+    head = F.substring(sentence, 1, 48)
+    short = F.when(F.length(sentence) <= 48, sentence).otherwise(F.regexp_replace(head, r" [^ ]*$", ""))
+    return F.substring(F.concat(book, F.lit(" — "), short), 1, 80)
+
+
+def snippet(text: Column, terms: list[str], radius: int = 80) -> Column:
+    """Snippets by an Arrow UDF, meant for the few rows left after a top-k."""
+    import pandas as pd
+
+    from quillspark.functions.pytext import snippet as cut
+
+    @F.pandas_udf("string")
+    def snippets(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut(t, terms, radius))
+
+    return snippets(text)
+
+
+def paragraphs(text: Column, least: int = 280) -> Column:
+    """Blank-line separated blocks, their lines trimmed and joined by a blank, from `least` characters on."""
+    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    blocks = F.split(unix, r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+    joined = F.transform(blocks, lambda b: F.regexp_replace(F.regexp_replace(b, r"[^\S\n]*\n[^\S\n]*", " "), r"^\s+|\s+$", ""))
+    return F.filter(joined, lambda b: F.length(b) >= least)
