@@ -131,7 +131,9 @@ def _merge(lists: DataFrame, k: int, parts: int) -> DataFrame:
 
 def _pivots(codes: DataFrame, n: int, dims: int) -> tuple[dict[str | None, np.ndarray], dict[tuple[str | None, int], int]]:
     """Pivots per model and, for blocks that would grow past SPLIT, into how many they are split; from a bounded sample."""
-    rows = codes.orderBy(F.xxhash64("id", "model"), "id").limit(SAMPLE).collect()
+    # chosen by hash, so each task sends its share only; the limit makes the bound strict
+    part = F.pmod(F.xxhash64("id", "model"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    rows = sorted(codes.filter(part).limit(2 * SAMPLE).collect(), key=lambda r: (r.id * 0x9E3779B97F4A7C15 % (1 << 64), str(r.model)))
     by: dict[str | None, list[np.ndarray]] = {}
     for r in rows:
         by.setdefault(r.model, []).append(np.frombuffer(bytes(r.code), np.int8).astype(np.float32) * r.scale)
@@ -290,7 +292,7 @@ def neighbour_graph(codes: DataFrame, k: int, dims: int, probes: int = 2, sample
 
 def similar_pairs(
     vectors: DataFrame, threshold: float = 0.9, partners: int = 9, id_col: str = "chunk_id", vec_col: str = "embedding", model_col: str | None = "model", dims: int = 64,
-    probes: int = 2, sample: int = 5, rounds: int = 2,
+    probes: int = 3, sample: int = 6, rounds: int = 2,
 ) -> DataFrame:
     """(id_a, id_b, similarity), a < b: pairs of different ids of one model with cosine of at least `threshold`.
 
