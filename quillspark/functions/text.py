@@ -6,6 +6,7 @@ that Spark ships, so no Python worker is started for them; ASCII strings take a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def display_title(c: Column) -> Column:
 def format_bytes(n: Column) -> Column:
     """Bytes with a binary unit: whole bytes, otherwise one decimal."""
     def of(power: int, unit: str) -> Column:
-        return F.format_string(f"%.1f {unit}", n / F.lit(float(1024**power)))
+        return F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**power)), 1))
 
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
@@ -138,8 +139,6 @@ def heading(book: Column, paragraph: Column) -> Column:
 
 def snippet(text: Column, terms: list[str], radius: int = 80) -> Column:
     """Snippets by an Arrow UDF, meant for the few rows left after a top-k."""
-    import pandas as pd
-
     from quillspark.functions.pytext import snippet as cut
 
     @F.pandas_udf("string")

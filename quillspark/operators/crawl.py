@@ -78,7 +78,7 @@ def crawl(spark: SparkSession, seeds: list[str], fetch: Fetch, robots: DataFrame
         got = fetch(asked.select("url")).join(asked, "url").filter(F.col("status").between(200, 299))
         got = got.withColumn("final", canonical_url(F.coalesce("final_url", "url")))
         got = got.filter(url_host(F.col("final")).isin(allowed) & is_html(F.col("content_type"), F.col("body")))
-        page = parse_html(F.col("final"), F.decode(F.col("body").cast("binary"), F.lit("utf-8")))
+        page = parse_html(F.col("final"), F.make_valid_utf8(F.col("body").cast("string")))
         level = got.withColumn("p", page).filter(F.trim("p.text") != "")
         level = durable(level.select("place", F.col("final").alias("url"), "p.title", "p.text", "p.links", F.current_timestamp().alias("fetched_at")))
         found = level if found is None else found.unionByName(level)
@@ -89,7 +89,7 @@ def crawl(spark: SparkSession, seeds: list[str], fetch: Fetch, robots: DataFrame
         # at most max_pages rows: numbering them in one task is bounded
         frontier = durable(new.select((F.row_number().over(W.orderBy("at")) + scheduled - 1).cast("bigint").alias("place"), "url"))
         scheduled += frontier.count()
-        seen = durable(seen.unionByName(frontier.select("url")))
+        seen = seen.unionByName(frontier.select("url"))  # a union of tables already written
     if found is None:
         return spark.createDataFrame([], "url string, title string, text string, fetched_at timestamp")
     best = found.groupBy("url").agg(F.min_by(F.struct("title", "text", "fetched_at"), "place").alias("x"))

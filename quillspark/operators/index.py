@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import title, tokens
+from quillspark.session import durable, spread
+
+#: Term buckets, by which stored postings are partitioned.
+BUCKETS = 64
+
+
+def bucket_of(word: str) -> int:
+    """The bucket of a word, computed on the driver as the bucket column is in Spark."""
+    return zlib.crc32(word.encode()) % BUCKETS
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """docs(doc_id, path, title, dl, text), postings(term, doc_id, tf, dl, positions), terms(term, df, cf), stats(n_docs, n_tokens, vocabulary, avgdl).
+    """docs(doc_id, path, title, dl, text), postings(bucket, term, doc_id, tf, dl, positions), terms(term, df, cf), stats(n_docs, n_tokens, vocabulary, avgdl).
 
     Postings carry the length of their document, so scoring needs no join with docs.
     """
@@ -60,24 +70,27 @@ def _stats_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings_of(docs: DataFrame, positions: bool = True) -> DataFrame:
-    """(term, doc_id, tf, dl[, positions]) of documents with a `toks` column.
+    """(bucket, term, doc_id, tf, dl[, positions]) of documents with a `toks` column.
 
-    A document's words are exploded, counted before the exchange and merged after it: what crosses the wire is one
-    row per (document, term) at most, spread over all tasks by that pair, so neither a frequent word
-    nor a long document makes a heavy task.
+    Words cross the wire once, to their term bucket and a slice of the documents, so that neither a frequent word nor a
+    long document makes a heavy task; counting there and storing by bucket need no further exchange.
     """
     words = docs.select("doc_id", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "term"))
+    # enough slices that a word of a third of all rows still gives no task more than a few times its share
+    slices = max(1, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    bucket = (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
+    words = words.withColumns({"bucket": bucket, "slice": F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")})
     found = [F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl")]
     if positions:
         found.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return words.groupBy("term", "doc_id").agg(*found)
+    return words.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "doc_id").agg(*found).drop("slice")
 
 
 def build_index(docs: DataFrame, positions: bool = True, keep_text: bool = True) -> SearchIndex:
     """Index documents(doc_id, text[, path]). Ids must be unique (see duplicate_ids); null texts index as empty ones."""
     path = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
     stem = F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*?)(?:\.[^./]*)?(?:#\d+)?$", 1)
-    full = docs.select("doc_id", path.alias("path"), "text", tokens(F.col("text")).alias("toks"))
+    full = spread(docs).select("doc_id", path.alias("path"), "text", tokens(F.col("text")).alias("toks"))
     kept = full.select("doc_id", "path", title(F.col("text"), stem).alias("title"), F.size("toks").alias("dl"), *(["text"] if keep_text else []))
     postings = postings_of(full, positions)
     terms = _terms_of(postings)
@@ -110,11 +123,11 @@ def append_documents(index: SearchIndex, docs: DataFrame) -> SearchIndex:
 
 
 def save_index(index: SearchIndex, folder: str) -> None:
-    """Parquet tables; postings are range-partitioned and sorted by (term, doc_id), so that a term lookup reads few row groups
-    and a word that is everywhere spreads over several files."""
+    """Parquet tables; postings are partitioned by term bucket and sorted by (term, doc_id), so that a lookup opens the files of its words' buckets
+    and reads few row groups of them."""
     index.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-    # df and cf come from the written postings, which costs a scan instead of tokenizing again
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    # df and cf come from the written postings, which costs a scan of two columns instead of tokenizing again
+    index.postings.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     spark = index.docs.sparkSession
     terms = _terms_of(spark.read.parquet(f"{folder}/postings"))
     terms.write.mode("overwrite").parquet(f"{folder}/terms")
@@ -131,8 +144,6 @@ def dense_ids(rows: DataFrame, *order: str, name: str = "doc_id") -> DataFrame:
     Rows are range-partitioned and sorted by the order, numbered inside their partition, and shifted by the sizes of the partitions before. Rows
     must be distinct in `order` for stable numbers.
     """
-    from quillspark.session import durable
-
     ranged = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_no", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.index import SearchIndex
+from quillspark.operators.index import SearchIndex, bucket_of
 from quillspark.plans.query import And, Node, Not, Or, Phrase, Term, parse
 
 
@@ -39,9 +40,15 @@ def predicate(tree: Node) -> Column:
     return tree.holds(word, phrase)
 
 
+def postings_for(index: SearchIndex, words: Iterable[str]) -> DataFrame:
+    """The postings of some words; stored ones are pruned to the words' buckets before any file is opened."""
+    wanted = sorted(set(words))
+    return index.postings.filter(F.col("bucket").isin(sorted({bucket_of(w) for w in wanted})) & F.col("term").isin(wanted))
+
+
 def lookup(index: SearchIndex, tree: Node) -> DataFrame:
     """The postings of the tree's words; positions are read only where a phrase needs them."""
-    rows = index.postings.filter(F.col("term").isin(sorted(tree.words())))
+    rows = postings_for(index, tree.words())
     if tree.phrases() and "positions" not in rows.columns:
         raise ValueError("phrases need an index with positions")
     return rows if tree.phrases() else rows.drop("positions")
@@ -62,6 +69,11 @@ def match(index: SearchIndex, query: str | Node) -> DataFrame:
     return held.filter(predicate(query)).select("doc_id")
 
 
+def _starts(index: SearchIndex, word: str, offset: int) -> DataFrame:
+    """(doc_id, start): where a phrase would begin whose word number `offset` is here."""
+    return postings_for(index, [word]).select("doc_id", F.explode(F.transform("positions", lambda p: p - offset)).alias("start"))
+
+
 def match_relational(index: SearchIndex, query: str | Node, hint: str | None = None) -> DataFrame:
     """The same by one relational operator per node: semi joins for AND, distinct union for OR, anti join for NOT, offset joins for phrases.
 
@@ -76,16 +88,14 @@ def match_relational(index: SearchIndex, query: str | Node, hint: str | None = N
         if isinstance(node, Phrase) and len(node.terms) == 1:
             node = Term(node.terms[0])
         if isinstance(node, Term):
-            return index.postings.filter(F.col("term") == node.text).select("doc_id")
+            return postings_for(index, [node.text]).select("doc_id")
         if isinstance(node, And):
             return of(node.left).join(hinted(of(node.right)), "doc_id", "left_semi")
         if isinstance(node, Or):
             return of(node.left).unionByName(of(node.right)).distinct()
         if isinstance(node, Not):
             return index.docs.select("doc_id").join(hinted(of(node.child)), "doc_id", "left_anti")
-        starts = [
-            index.postings.filter(F.col("term") == w).select("doc_id", (F.explode("positions") - i).alias("start")) for i, w in enumerate(node.terms)
-        ]
+        starts = [_starts(index, w, i) for i, w in enumerate(node.terms)]
         if not starts:
             return index.docs.select("doc_id").limit(0)
         return reduce(lambda a, b: a.join(hinted(b), ["doc_id", "start"], "left_semi"), starts).select("doc_id").distinct()

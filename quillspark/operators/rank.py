@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import snippet
 from quillspark.operators.index import SearchIndex
-from quillspark.operators.match import leaf_columns, lookup, match, predicate
+from quillspark.operators.match import leaf_columns, lookup, match, postings_for, predicate
 from quillspark.plans.query import Node, Phrase, Term, parse
 
 #: (tf, df, dl, n_docs, avgdl) -> weight of one posting.
@@ -148,7 +148,7 @@ def batch_search(index: SearchIndex, queries: dict[int, str], scorer: Scorer | s
         asked = spark.createDataFrame(words_, "query_id bigint, term string, times int, bit bigint")
         truth = spark.createDataFrame(truth_, "query_id bigint, mask bigint")
         needed = {w for _, w, _, _ in words_}
-        rows = index.postings.drop("positions").join(F.broadcast(asked), "term")
+        rows = postings_for(index, needed).drop("positions").join(F.broadcast(asked), "term")
         rows = _weights(index, rows, needed, scorer)
         held = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("total"), F.bit_or("bit").alias("mask"))
         matched = held.join(F.broadcast(truth), ["query_id", "mask"], "left_semi")

@@ -16,6 +16,7 @@ from quillspark.functions.vectors import dot_literal
 from quillspark.operators.index import SearchIndex
 from quillspark.operators.rank import PLACES, Scorer, score, top, with_documents
 from quillspark.plans.query import parse
+from quillspark.session import spread
 
 #: A batch of texts to a float matrix, one row each.
 Encode = Callable[[Sequence[str]], np.ndarray]
@@ -40,7 +41,9 @@ def hash_encoder(dims: int = 64) -> Encode:
 
 def chunk_documents(docs: DataFrame, size: int = 256, overlap: int = 32) -> DataFrame:
     """(doc_id, chunk_no, text): token windows of every document; documents without words have none."""
-    windows = docs.select("doc_id", chunk_texts(tokens(F.col("text")), size, overlap).alias("w"))
+    # the words are a column of their own, or they would be found again for every window
+    words = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("toks"))
+    windows = words.select("doc_id", chunk_texts(F.col("toks"), size, overlap).alias("w"))
     return windows.select("doc_id", F.posexplode("w").alias("chunk_no", "text"))
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
+from quillspark.session import spread
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(term, n): occurrences of every word."""
-    return docs.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return spread(docs.select("text")).select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def numbered_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     Lines are counted per file block and shifted by the blocks before, so one huge file is not read by one task.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("o"), F.col("value").alias("line"))
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("o"), F.make_valid_utf8("value").alias("line"))
     inside = raw.withColumn("no", F.row_number().over(W.partitionBy("path", "block").orderBy("o")))
     sizes = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -77,7 +77,7 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     whole = []
     for pattern in ("*.txt", "*.md"):
         files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
-        whole.append(files.select(relative(F.col("_metadata.file_path")).alias("path"), F.lit(None).cast("int").alias("source_line"), F.col("value").alias("text")))
+        whole.append(files.select(relative(F.col("_metadata.file_path")).alias("path"), F.lit(None).cast("int").alias("source_line"), F.make_valid_utf8("value").alias("text")))
     texts = reduce(DataFrame.unionByName, whole).withColumn("ext_id", F.col("path"))
     lines = numbered_lines(spark, root, "*.jsonl").withColumn("path", relative(F.col("path")))
     fallback = F.concat_ws(":", "path", F.col("line_no").cast("string"))

@@ -21,7 +21,7 @@ def export_json(index: SearchIndex, folder: str) -> None:
 def import_json(spark: SparkSession, folder: str) -> SearchIndex:
     kinds = (
         "doc_id bigint, path string, title string, dl int, text string",
-        "term string, doc_id bigint, tf int, dl int, positions array<int>",
+        "bucket int, term string, doc_id bigint, tf int, dl int, positions array<int>",
         "term string, df bigint, cf bigint",
         "n_docs bigint, n_tokens bigint, vocabulary bigint, avgdl double",
     )

@@ -27,7 +27,7 @@ def index_stream(docs: DataFrame, folder: str, checkpoint: str, trigger: dict |
         try:
             kept = full.select("doc_id", F.lit(None).cast("string").alias("path"), title(F.col("text")).alias("title"), F.size("toks").alias("dl"), "text")
             # postings first: a document counts as stored once its row in docs exists
-            postings_of(full).write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+            postings_of(full).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
             kept.write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
         finally:
             full.unpersist()
