@@ -210,7 +210,7 @@ def _round(codes: DataFrame, graph: DataFrame, sample: int, dims: int, parts: in
         back = back.withColumn("p", place).filter(F.col("p") <= sample).drop("p")
         edges = edges.unionByName(back).select("v", "model", "u").distinct()
     # what travels with a neighbour: its code, the similarity it must beat, and a 16-bit mark per neighbour it has
-    marks = F.transform("near", lambda x: F.pmod(F.xxhash64(x), F.lit(65536)).cast("int"))
+    marks = F.transform("near", lambda x: (F.pmod(F.xxhash64(x), F.lit(65536)) - 32768).cast("smallint"))
     weakest = F.when(F.size("near") > 0, F.element_at("sims", -1)).otherwise(F.lit(-2.0).cast("float"))
     state = graph.select(F.col("id").alias("u"), "model", weakest.alias("floor"), marks.alias("known"))
     # a null model is matched through a stand-in that no name can be
@@ -232,7 +232,7 @@ def _round(codes: DataFrame, graph: DataFrame, sample: int, dims: int, parts: in
         known = table["known"]
         have = np.asarray(known.value_lengths())
         width = int(have.max(initial=0))
-        marks_ = np.full((len(u), max(1, width)), -1, np.int32)
+        marks_ = np.full((len(u), max(1, width)), 1 << 20, np.int32)
         marks_[np.arange(width)[None, :] < have[:, None]] = np.asarray(known.flatten())
         order = np.lexsort((u, v, of))
         bounds = np.flatnonzero(np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (of[order][1:] != of[order][:-1]))))
@@ -264,7 +264,7 @@ def _round(codes: DataFrame, graph: DataFrame, sample: int, dims: int, parts: in
             if len(ids):
                 yield _batch([names[c]] * len(ids), ids, starts, near, sims)
 
-    fields = sent.select("v", "u", "model", "code", "scale", "floor", F.pmod(F.xxhash64("u"), F.lit(65536)).cast("int").alias("mark"), "known")
+    fields = sent.select("v", "u", "model", "code", "scale", "floor", (F.pmod(F.xxhash64("u"), F.lit(65536)) - 32768).cast("smallint").alias("mark"), "known")
     return fields.mapInArrow(local, LISTS)
 
 
