@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,10 +126,12 @@ def append_documents(index: SearchIndex, docs: DataFrame) -> SearchIndex:
 def save_index(index: SearchIndex, folder: str) -> None:
     """Parquet tables; postings are partitioned by term bucket and sorted by (term, doc_id), so that a lookup opens the files of its words' buckets
     and reads few row groups of them."""
-    index.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-    # df and cf come from the written postings, which costs a scan of two columns instead of tokenizing again
-    index.postings.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     spark = index.docs.sparkSession
+    with ThreadPoolExecutor(1) as pool:  # documents are written while the postings are counted
+        docs = pool.submit(lambda: index.docs.write.mode("overwrite").parquet(f"{folder}/docs"))
+        # df and cf come from the written postings, which costs a scan of two columns instead of tokenizing again
+        index.postings.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        docs.result()
     terms = _terms_of(spark.read.parquet(f"{folder}/postings"))
     terms.write.mode("overwrite").parquet(f"{folder}/terms")
     _stats_of(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/terms")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")

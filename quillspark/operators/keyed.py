@@ -102,6 +102,6 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...
         state = durable(_locate(_summed(near.withColumn("b", b), "k", "q", "b"), open_))
         found.append(state.filter("lo = hi"))
         open_ = state.filter("lo < hi")
-    values = reduce(DataFrame.unionByName, found).groupBy("k").agg(*[F.max(F.when(F.col("q") == float(q), F.col("lo"))).alias(name[q]) for q in quantiles])
-    joined = out.join(values, F.col(key).eqNullSafe(F.col("k")), "left")
+    values = reduce(DataFrame.unionByName, found).groupBy(F.col("k").alias("_k")).agg(*[F.max(F.when(F.col("q") == float(q), F.col("lo"))).alias(name[q]) for q in quantiles])
+    joined = out.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
     return joined.select(*out.columns, *name.values())
