@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm.leaks import SeedIndex, _scan, find_leaks, holds, passage, plain_words
+from quillspark.llm.mainbody import NEAR, NEXT, _recursion, cut_lines, main_lines
+from quillspark.llm.neighbours import neighbour_graph, similar_pairs, vector_codes
+
+
+def energy(costs, labels):
+    own = sum(max(0, -c) if x else max(0, c) for c, x in zip(costs, labels, strict=True))
+    near = sum(a != b for a, b in zip(labels, labels[1:], strict=False))
+    far = sum(a != b for a, b in zip(labels, labels[2:], strict=False))
+    return own + NEAR * near + NEXT * far
+
+
+def test_cut_is_minimal():
+    rng = random.Random(0)
+    for n in range(1, 11):
+        for _ in range(15):
+            costs = [rng.choice([-3, -1, -0.5, 0, 0.4, 1.3, 2.5]) + rng.random() * 0.01 for _ in range(n)]
+            best = min(energy(costs, [m >> i & 1 for i in range(n)]) for m in range(1 << n))
+            assert energy(costs, cut_lines(costs)) == pytest.approx(best) == energy(costs, _recursion(costs))
+    long = [rng.choice([-0.5, 0.4]) for _ in range(1500)]
+    assert len(cut_lines(long)) == 1500 and cut_lines([]) == []
+
+
+def test_pages(spark):
+    prose = ["The clerk of the old town kept a blue kettle near the river and nobody asked.", "She left in the rain, and the harbour was quiet for a week.", "Nothing of it was ever found."]
+    data = []
+    for i in range(12):
+        body = [prose[i % 3].replace("clerk", f"clerk number {chr(97 + i)}"), f"- a copper kettle {chr(97 + i)}", f"The road {chr(97 + i)} was long."]
+        lines = [f"Title {chr(65 + i)} · Part", "Home", "Shelves", "By Harken | 3.04.2020 | 5 min read", *body, "Related passages", f"Title {chr(65 + (i + 1) % 12)} · Part", "© 2020 Site. All rights reserved."]
+        data.append((i, f"id{i}", "https://www.site.example/p", f"Title {chr(65 + i)} · Part | Site", "\n".join(lines)))
+    data += [(50, None, None, None, None), (51, None, None, None, ""), (52, "x", "bad url", None, "One single sentence stands here alone.\n\n"), (0, *data[0][1:])]
+    df = spark.createDataFrame(data, "page_no bigint, id string, url string, title string, text string").withColumns({"line_no": F.lit(9), "h": F.lit(1)})
+    got = sorted((r.page_no, r.line_no) for r in main_lines(df).collect())
+    assert got == sorted([(i, k) for i in range(12) for k in (4, 5, 6)] + [(0, k) for k in (4, 5, 6)] + [(52, 0)])
+    assert main_lines(df.limit(0)).count() == 0
+
+
+PASSAGE = "The ledger of Fesalo says that Ebkö paid 362 millstones to the lighthouse until 1746 when the tide took the northern wall and all of its twelve keepers went home"
+
+
+def test_leaks(spark):
+    words = PASSAGE.split()
+    edited = [*words[:9], "CHANGED", *words[10:]]
+    docs = [
+        (1, "Before. " + PASSAGE.upper().replace(" ", "\n") + " After."), (2, "x " + " ".join(edited) + " y"), (3, "only " + " ".join(words[:12]) + " here"), (4, None), (5, ""),
+        (6, "a b c " * 2000 + " ".join(words[2:26]).replace("ö", "ö").replace("of", "‘of’") + " d e" * 2000), (1, "again " + PASSAGE), (7, "Choose the best answer and read it twice before you go on to the next question please do"),
+    ]
+    items = [(10, "Choose the best answer and read it twice before you go on to the next question please do\n" + PASSAGE), (11, PASSAGE), (12, "too short"), (13, None), (14, "")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
+    e = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
+    got = sorted((r.doc_id, r.item_id) for r in find_leaks(d, e).collect())
+    assert got == sorted((x, y) for x in (1, 1, 2, 6) for y in (10, 11))
+    assert find_leaks(d.limit(0), e).count() == 0 and find_leaks(d, e.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        find_leaks(d, e, min_words=5)
+    assert passage("one line") == "one line" and passage("a\nb\nc") == "b\nc" and plain_words("D’Été-co, ‘x’") == ["dete", "co", "x"]
+
+
+def test_edited_copies_are_found():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([40, 60, 300])))) for i in range(30)]
+    index = SeedIndex(items)
+    for _ in range(300):
+        item, text = rng.choice(items)
+        w = text.split()
+        n = rng.randint(18, 39)
+        s = rng.randrange(0, len(w) - n + 1)
+        copy = w[s : s + n]
+        for _ in range(n // 10):
+            at, kind = rng.randrange(1, len(copy) - 1), rng.random()
+            if kind < 0.4:
+                copy[at] = "changed"
+            elif kind < 0.7:
+                copy.insert(at, "added")
+            else:
+                del copy[at]
+        fill = ["f%d" % rng.randrange(1000) for _ in range(80)]
+        assert item in [i for _, i, _ in _scan(index, [" ".join(fill[:40] + copy + fill[40:])], 18, 10)]
+
+
+def test_window_rule():
+    one = np.ones(18, np.int32)
+    edit = np.zeros(18, np.int32)
+    assert holds(one, edit, 18, 10) and not holds(one[:17], edit[:17], 18, 10)
+    edit[8] = 1
+    assert holds(one, edit, 18, 10)
+    edit[4] = 1
+    assert not holds(one, edit, 18, 10)
+
+
+def test_similar_pairs_and_recall(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, base[:150] + 0.05 * rng.normal(size=(150, 16)), base[:60] + 0.05 * rng.normal(size=(60, 16))])
+    rows = [(i, v.astype(float).tolist(), "a") for i, v in enumerate(x)]
+    rows += [(0, rows[0][1], "a"), (900, None, "a"), (901, [1.0] * 4, "a"), (902, [0.0] * 16, "a"), (903, [float("nan")] * 16, "a"), (904, [float("inf")] + [1.0] * 15, "a")]
+    rows += [(905, rows[0][1], "b"), (906, rows[0][1], None), (907, rows[0][1], None), (None, rows[0][1], "a"), (908, [None] + [1.0] * 15, "a")]
+    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>, model string").withColumns({"id": F.lit("clash"), "near": F.lit(1)})
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(unit @ unit.T, 1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(s >= 0.9), strict=True)} | {(906, 907)}
+    got = [(r.id_a, r.id_b) for r in similar_pairs(df, dims=16).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want)
+    assert similar_pairs(df.limit(0), dims=16).count() == 0
+
+    codes = vector_codes(df.filter("model = 'a'"), "chunk_id", "embedding", "model", 16)
+    graph = {r.id: r.near for r in neighbour_graph(codes, 10, 16, probes=2, sample=10, rounds=4, reverse=True).collect()}
+    full = unit @ unit.T
+    np.fill_diagonal(full, -2)
+    top = np.argsort(-full, axis=1)[:, :10]
+    assert np.mean([len(set(graph[i]) & set(top[i].tolist())) / 10 for i in range(len(x))]) >= 0.9
