@@ -33,7 +33,7 @@ def test_pages(spark):
     prose = ["The clerk of the old town kept a blue kettle near the river and nobody asked.", "She left in the rain, and the harbour was quiet for a week.", "Nothing of it was ever found."]
     data = []
     for i in range(12):
-        body = [prose[i % 3].replace("clerk", f"clerk number {chr(97 + i)}"), f"- a copper kettle {chr(97 + i)}", f"The road {chr(97 + i)} was long."]
+        body = [f"{prose[i % 3][:-1]} number {chr(97 + i)}.", f"- a copper kettle {chr(97 + i)}", f"The road {chr(97 + i)} was long."]
         lines = [f"Title {chr(65 + i)} · Part", "Home", "Shelves", "By Harken | 3.04.2020 | 5 min read", *body, "Related passages", f"Title {chr(65 + (i + 1) % 12)} · Part", "© 2020 Site. All rights reserved."]
         data.append((i, f"id{i}", "https://www.site.example/p", f"Title {chr(65 + i)} · Part | Site", "\n".join(lines)))
     data += [(50, None, None, None, None), (51, None, None, None, ""), (52, "x", "bad url", None, "One single sentence stands here alone.\n\n"), (0, *data[0][1:])]
