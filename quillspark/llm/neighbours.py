@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.session import durable
+from quillspark.session import broadcast_if_small, durable
 
 #: Rows of the bounded sample that pivots and block loads are taken from.
 SAMPLE = 16_384
@@ -318,3 +318,57 @@ def similar_pairs(
     cosine = dot(F.col("a_v"), F.col("b_v")) / F.sqrt(dot(F.col("a_v"), F.col("a_v")) * dot(F.col("b_v"), F.col("b_v")))
     out = joined.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), cosine.alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
+
+
+def _scored(rows: DataFrame, codes: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
+    """(qid, node, sim) of (qid, node): the codes of both sides are brought together and multiplied in batches."""
+    sides = rows.join(codes.select(F.col("id").alias("node"), F.col("code").alias("c"), F.col("scale").alias("s")), "node")
+    sides = sides.join(broadcast_if_small(queries.select("qid", F.col("code").alias("qc"), F.col("scale").alias("qs")), 160), "qid")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sims = np.einsum("ij,ij->i", _decode(b.column(2), b.column(3), dims), _decode(b.column(4), b.column(5), dims))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float32())], ["qid", "node", "sim"])
+
+    return sides.select("qid", "node", "c", "s", "qc", "qs").mapInArrow(multiply, "qid bigint, node bigint, sim float")
+
+
+def graph_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, k: int, dims: int, beam: int = 64, width: int = 8, steps: int = 12) -> DataFrame:
+    """(qid, node, sim, place): the k most similar of a collection for queries(qid, code, scale), by greedy search on its graph.
+
+    Every query keeps its `beam` best nodes. Each step opens the `width` best unopened ones of all queries at once, by a join with the
+    graph; searching ends when no query has an unopened node left, or after `steps`. Searches start at the nodes of a bounded
+    sample that are most similar to the query. graph and codes are those of one model. A query that is itself in the collection finds itself too.
+    """
+    n = max(1, codes.count())
+    part = F.pmod(F.xxhash64("id", "model"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / 4 / n) * (1 << 30))
+    sample = codes.filter(part).limit(SAMPLE).collect()
+    spark = codes.sparkSession
+    names = np.array([r.id for r in sample], np.int64)
+    points = np.stack([np.frombuffer(bytes(r.code), np.int8).astype(np.float32) * r.scale for r in sample]) if sample else np.zeros((0, dims), np.float32)
+    shared = spark.sparkContext.broadcast((names, points))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at = shared.value
+        m = min(beam // 2, len(ids))
+        for b in batches:
+            if b.num_rows and m:
+                s = _decode(b.column(1), b.column(2), dims) @ at.T
+                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                qid = np.repeat(np.asarray(b.column(0)), m)
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel(), pa.float32())], ["qid", "node", "sim"])
+
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "node"))
+    held = durable(queries.select("qid", "code", "scale").mapInArrow(enter, "qid bigint, node bigint, sim float").withColumn("opened", F.lit(False)))
+    links = graph.select(F.col("id").alias("node"), "near")
+    for _ in range(steps):
+        opening = held.filter("not opened").withColumn("p", place).filter(F.col("p") <= width).select("qid", "node")
+        found = opening.join(links, "node").select("qid", F.explode("near").alias("node")).distinct().join(held.select("qid", "node"), ["qid", "node"], "left_anti")
+        new = _scored(found, codes, queries, dims).withColumn("opened", F.lit(False))
+        kept = held.join(opening.withColumn("now", F.lit(True)), ["qid", "node"], "left")
+        kept = kept.select("qid", "node", "sim", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        held = durable(kept.unionByName(new).withColumn("p", place).filter(F.col("p") <= beam).drop("p"))
+        if held.filter("not opened").isEmpty():
+            break
+    return held.withColumn("place", place).filter(F.col("place") <= k).select("qid", "node", "sim", "place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.leaks import SeedIndex, _scan, find_leaks, holds, passage, plain_words
 from quillspark.llm.mainbody import NEAR, NEXT, _recursion, cut_lines, main_lines
-from quillspark.llm.neighbours import neighbour_graph, similar_pairs, vector_codes
+from quillspark.llm.neighbours import graph_search, neighbour_graph, similar_pairs, vector_codes
 
 
 def energy(costs, labels):
@@ -118,3 +118,19 @@ def test_similar_pairs_and_recall(spark):
     np.fill_diagonal(full, -2)
     top = np.argsort(-full, axis=1)[:, :10]
     assert np.mean([len(set(graph[i]) & set(top[i].tolist())) / 10 for i in range(len(x))]) >= 0.9
+
+
+def test_graph_search_recall(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id bigint, embedding array<float>")
+    codes = vector_codes(df, "chunk_id", "embedding", None, 16).cache()
+    graph = neighbour_graph(codes, 12, 16, probes=2, sample=8, rounds=2, reverse=True)
+    queries = codes.filter("id % 100 = 0").withColumnRenamed("id", "qid")
+    got = {}
+    for r in graph_search(graph, codes, queries, 10, 16, beam=64).collect():
+        got.setdefault(r.qid, set()).add(r.node)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    recall = [len(got[i] & set(np.argsort(-(unit @ unit[i]))[:10].tolist())) / 10 for i in range(0, 1200, 100)]
+    assert np.mean(recall) >= 0.9
+    assert graph_search(graph, codes, queries.limit(0), 5, 16).count() == 0
