@@ -20,12 +20,14 @@ from quillspark.session import broadcast_if_small, durable
 
 #: Finer buckets per refinement; each round narrows a range at least this much unless values are crowded.
 FINE = 256
+#: Whole values below this have a bucket each from the start.
+ALONE = 1024
 
 
 def _coarse(v: Column) -> Column:
-    """A monotone bucket number: whole values up to 128 alone, beyond that eight per doubling."""
-    far = F.floor(F.log2(F.abs(v) / 128.0) * 8).cast("int") + 128
-    return F.when(F.abs(v) < 128, F.floor(v).cast("int")).when(v > 0, far).otherwise(-far - 1)
+    """A monotone bucket number: whole values up to ALONE in buckets of their own, beyond that eight per doubling."""
+    far = F.floor(F.log2(F.abs(v) / float(ALONE)) * 8).cast("int") + ALONE
+    return F.when(F.abs(v) < ALONE, F.floor(v).cast("int")).when(v > 0, far).otherwise(-far - 1)
 
 
 def _summed(df: DataFrame, *by: str) -> DataFrame:
@@ -82,7 +84,7 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...
     if not quantiles:
         return out
 
-    name = {q: f"q{q * 100:g}".replace(".", "_") for q in quantiles}
+    name = {q: f"q{q * 100:.10g}".replace(".", "_") for q in quantiles}
     qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
     wanted = totals.filter("n_values > 0").select("k", "n_values", qs)
     wanted = wanted.select("k", "q", F.greatest(F.ceil(F.col("q") * F.col("n_values")), F.lit(1)).cast("bigint").alias("rank"))
@@ -105,3 +107,26 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...
     values = reduce(DataFrame.unionByName, found).groupBy(F.col("k").alias("_k")).agg(*[F.max(F.when(F.col("q") == float(q), F.col("lo"))).alias(name[q]) for q in quantiles])
     joined = out.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
     return joined.select(*out.columns, *name.values())
+
+
+def total_before(rows: DataFrame, keys: list[str], order: list[Column], weight: Column | None = None, name: str = "before") -> DataFrame:
+    """Adds `name`: the sum of `weight` (default 1, which makes it the place from 0) over the rows of the same keys that come earlier.
+
+    Rows are range-partitioned by keys and order, so a key of many rows spreads over several tasks; each task sums its part of a
+    key, and the parts before are added from a table of one row per key and task. Keys must not be null, and the order must be total within a key.
+    """
+    weight = F.lit(1) if weight is None else weight
+    ranged = durable(rows.withColumn("_w", weight).repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()))
+    inside = F.coalesce(F.sum("_w").over(W.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy(*keys, "_pid").agg(F.sum("_w").alias("_s"))
+    shift = F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sums.select(*keys, "_pid", shift.alias("_shift"))
+    return ranged.withColumn("_in", inside).join(shifts, [*keys, "_pid"]).withColumn(name, F.col("_shift") + F.col("_in")).drop("_w", "_pid", "_in", "_shift")
+
+
+def exact_medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys..., name): the median per key, the mean of the middle two for an even count, by key_profile."""
+    upper = 0.5 + 1e-9  # the first rank above the middle for any count below 5e8
+    both = key_profile(rows.select(F.struct(*keys).alias("_key"), value), "_key", value, (0.5, upper))
+    middle = [c for c in both.columns if c.startswith("q50")]
+    return both.select("_key.*", ((F.col(middle[0]) + F.col(middle[1])) / 2.0).alias(name))
