@@ -8,9 +8,11 @@ combined by a weighted geometric mean.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators.keyed import exact_medians, total_before
+from quillspark.session import durable
+
 #: Makes the median absolute deviation of a normal sample estimate its standard deviation (fixed value).
 MAD_TO_SD = 1.4826
 
@@ -37,41 +39,47 @@ def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: st
     a logistic curve. A document absent from a list gets the value one place below its last entry
     (by score: one deviation below the lowest); lists a query does not have say nothing. A list whose MAD is 0 (all
     tied, or a single hit) is scaled by its mean absolute deviation, or by 1 if that is 0 too. `weights` by mode, default 1
-    each, must not be negative; the mean is weighted geometric: exp(sum w*ln v / sum w). Ties in `fused` are ordered by doc_id.
+    each, must not be negative; medians and places of long lists are found by exact distributed selection and
+    range-partitioned sums, so no list is brought into one task; the mean is weighted geometric: exp(sum w*ln v / sum w). Ties in `fused` are ordered by doc_id.
     """
     if by not in ("place", "score"):
         raise ValueError("by is 'place' or 'score'")
     if any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights must not be negative")
+    keys = ["query_id", "mode"]
     lists = latest_hits(hits)
-    one = W.partitionBy("query_id", "mode")
     if by == "place":
-        tied = W.partitionBy("query_id", "mode", "score")
-        place = F.rank().over(one.orderBy(F.desc("score"))) + (F.count(F.lit(1)).over(tied) - 1) / 2.0
-        lists = lists.withColumn("x", -place)
+        # places are found once per distinct score; doubled, they are whole numbers even where ties share a mean place
+        scores = lists.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("c"))
+        better = total_before(scores, keys, [F.desc("score")], F.col("c"))
+        lists = lists.join(better.select(*keys, "score", (-(2 * F.col("before") + F.col("c") + 1)).alias("x")), [*keys, "score"])
     else:
         lists = lists.withColumn("x", F.col("score"))
-    lists = lists.withColumn("med", F.median("x").over(one))
-    lists = lists.withColumn("mad", F.median(F.abs(F.col("x") - F.col("med"))).over(one)).withColumn("mean_dev", F.avg(F.abs(F.col("x") - F.col("med"))).over(one))
-    scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SD).when(F.col("mean_dev") > 0, F.col("mean_dev")).otherwise(F.lit(1.0))
-    step = F.lit(1.0) if by == "place" else scale
-    lists = lists.withColumns({"z": (F.col("x") - F.col("med")) / scale, "below": (F.min("x").over(one) - step - F.col("med")) / scale})
+    lists = durable(lists.select(*keys, "doc_id", "x"))
+    middle = exact_medians(lists, keys, "x", "med")
+    apart = F.abs(F.col("x") - F.col("med"))
+    away = lists.join(middle, keys).select(*keys, apart.alias("away"))
+    spread = exact_medians(away, keys, "away", "mad").join(away.groupBy(*keys).agg(F.avg("away").alias("mean_dev")), keys)
+    lowest = lists.groupBy(*keys).agg(F.min("x").alias("low"))
+    step = 2.0 if by == "place" else None
+    scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SD).when(F.col("mean_dev") > 0, F.col("mean_dev")).otherwise(F.lit(step or 1.0))
+    below = (F.col("low") - (F.lit(step) if step else F.col("scale")) - F.col("med")) / F.col("scale")
+    w: Column = F.lit(1.0)
+    for mode, value in (weights or {}).items():
+        w = F.when(F.col("mode") == mode, F.lit(float(value))).otherwise(w)
+    per_list = middle.join(spread, keys).join(lowest, keys).withColumn("scale", scale).withColumn("below", below).withColumn("w", w)
+    per_list = durable(per_list.select(*keys, "med", "scale", "below", "w"))
+    lists = lists.join(per_list, keys).withColumn("z", (F.col("x") - F.col("med")) / F.col("scale"))
 
     def log_value(z: Column) -> Column:
         return -F.log1p(F.exp(-steepness * z))
 
-    w: Column = F.lit(1.0)
-    for mode, value in (weights or {}).items():
-        w = F.when(F.col("mode") == mode, F.lit(float(value))).otherwise(w)
-    lists = lists.withColumn("w", w)
-    # what a document would get from every list of its query by being absent; present lists replace their share
-    per_list = lists.groupBy("query_id", "mode").agg(F.first("below").alias("below"), F.first("w").alias("w"))
+    # what a document would get from every list of its query by being absent; the lists it is in replace their share
     floor = per_list.groupBy("query_id").agg(F.sum(F.col("w") * log_value(F.col("below"))).alias("none"), F.sum("w").alias("w_all"))
     gain = lists.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("w") * (log_value(F.col("z")) - log_value(F.col("below")))).alias("gain"), F.count(F.lit(1)).alias("n_lists")
     )
     out = gain.join(floor, "query_id").withColumn("fused", F.when(F.col("w_all") > 0, F.exp((F.col("none") + F.col("gain")) / F.col("w_all"))).otherwise(F.lit(0.0)))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("fused", 12)), "doc_id"))
-    return out.select("query_id", "doc_id", "fused", "n_lists", place.alias("place"))
-
-
+    out = out.select("query_id", "doc_id", "fused", "n_lists")
+    placed = total_before(out, ["query_id"], [F.desc(F.round("fused", 12)), F.col("doc_id")])
+    return placed.select("query_id", "doc_id", "fused", "n_lists", (F.col("before") + 1).cast("int").alias("place"))
