@@ -27,8 +27,9 @@ def latest_hits(hits: DataFrame) -> DataFrame:
     rows = hits.filter(ok & F.col("query_id").isNotNull() & F.col("mode").isNotNull() & F.col("doc_id").isNotNull())
     at = F.coalesce(F.unix_micros("served_at"), F.lit(-(2**62)))
     rows = rows.select("query_id", F.lower(F.trim("mode")).alias("mode"), "doc_id", F.col("score").cast("double").alias("score"), at.alias("at"))
-    newest = rows.groupBy("query_id", "mode", "doc_id").agg(F.max(F.struct("at", "score")).alias("x"))
-    return newest.select("query_id", "mode", "doc_id", "x.score")
+    # one exchange serves both groupings, and numbers alone keep them in hash aggregates
+    by_time = rows.repartition("query_id", "mode", "doc_id").groupBy("query_id", "mode", "doc_id", "at").agg(F.max("score").alias("score"))
+    return by_time.groupBy("query_id", "mode", "doc_id").agg(F.max_by("score", "at").alias("score"))
 
 
 def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: str = "place", steepness: float = 1.0) -> DataFrame:
@@ -47,15 +48,15 @@ def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: st
     if any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights must not be negative")
     keys = ["query_id", "mode"]
-    lists = latest_hits(hits)
+    lists = durable(latest_hits(hits))
     if by == "place":
         # places are found once per distinct score; doubled, they are whole numbers even where ties share a mean place
         scores = lists.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("c"))
         better = total_before(scores, keys, [F.desc("score")], F.col("c"))
         lists = lists.join(better.select(*keys, "score", (-(2 * F.col("before") + F.col("c") + 1)).alias("x")), [*keys, "score"])
+        lists = durable(lists.select(*keys, "doc_id", "x"))
     else:
         lists = lists.withColumn("x", F.col("score"))
-    lists = durable(lists.select(*keys, "doc_id", "x"))
     middle = exact_medians(lists, keys, "x", "med")
     apart = F.abs(F.col("x") - F.col("med"))
     away = lists.join(middle, keys).select(*keys, apart.alias("away"))
