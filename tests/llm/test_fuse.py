@@ -50,3 +50,17 @@ def test_no_scale_wins_ties_and_bad_parameters(spark):
         fuse_scores(hits(spark, data), by="x")
     with pytest.raises(ValueError):
         fuse_scores(hits(spark, data), {"a": -1.0})
+
+
+def test_long_lists_give_the_same(spark, monkeypatch):
+    import random
+
+    import quillspark.llm.fuse as fuse
+
+    rng = random.Random(0)
+    data = [(q, m, d, rng.choice([rng.random(), 0.5, 100 * rng.random()]), 1) for q, n in ((1, 200), (2, 9)) for m in ("a", "b", "c") for d in rng.sample(range(400), n)]
+    for by in ("place", "score"):
+        short = {(r.query_id, r.doc_id): (round(r.fused, 9), r.place) for r in fuse_scores(hits(spark, data), by=by).collect()}
+        monkeypatch.setattr(fuse, "LONG", 50)
+        assert {(r.query_id, r.doc_id): (round(r.fused, 9), r.place) for r in fuse_scores(hits(spark, data), by=by).collect()} == short
+        monkeypatch.undo()
