@@ -51,7 +51,7 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
 def _p3_search(spark: SparkSession, d: str) -> DataFrame:
     """Ten most alike for every chunk whose id is divisible by 100, against all chunks of its model; one search per model."""
     codes = durable(vector_codes(table(spark, d, "chunks"), "chunk_id", "embedding", "model", 64))
-    graph = neighbour_graph(codes, 16, 64, probes=3, sample=8, rounds=2, reverse=True)
+    graph = neighbour_graph(codes, 16, 64, probes=3, sample=6, rounds=1, reverse=True)
     place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "node"))
     found = []
     for (model,) in codes.select("model").distinct().collect():
