@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
+import time
+from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -52,6 +54,45 @@ def retryable(status: Column, error: Column) -> Column:
     return F.coalesce(error == "timeout", F.lit(False)) | F.coalesce((status == 429) | status.between(500, 599), F.lit(False))
 
 
+def paced_fetch(get: Callable[[str], dict], min_delay: float = 0.2, tries: int = 3, base: float = 0.5, cap: float = 8.0, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> Fetch:
+    """A Fetch over a live `get(url) -> {status, content_type, final_url, body, retry_after (seconds), error}`.
+
+    A host's URLs meet in one task, which waits `min_delay` between requests to it; different hosts are fetched side by side. Timeouts,
+    429 and 5xx are tried again, up to `tries` in all, after a capped exponential delay that respects retry_after. `attempts` holds
+    every try. `sleep` and `jitter` can be replaced in tests.
+    """
+    fields = "url string, status int, content_type string, final_url string, body binary, attempts array<struct<status:int,nbytes:bigint,elapsed:double,error:string,retry_after:double>>"
+
+    def ask(url: str) -> dict:
+        made = []
+        for n in range(tries):
+            began = time.monotonic()
+            try:
+                r = get(url)
+            except TimeoutError:
+                r = {"error": "timeout"}
+            except Exception as e:
+                r = {"error": type(e).__name__}
+            body, status = r.get("body") or b"", r.get("status")
+            made.append({"status": status, "nbytes": len(body), "elapsed": time.monotonic() - began, "error": r.get("error"), "retry_after": r.get("retry_after")})
+            again = r.get("error") == "timeout" or status == 429 or (status is not None and 500 <= status < 600)
+            if not again or n + 1 == tries:
+                break
+            sleep(max(min(cap, base * 2**n) + jitter(), r.get("retry_after") or 0.0))
+        return {"url": url, "status": status, "content_type": r.get("content_type"), "final_url": r.get("final_url"), "body": body, "attempts": made}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: set[str] = set()
+        for frame in frames:
+            for url in frame["url"]:
+                if host(url) in asked:
+                    sleep(min_delay)
+                asked.add(host(url))
+                yield pd.DataFrame([ask(url)]).astype({"status": "Int32"})
+
+    return lambda frontier: frontier.select("url").repartition(url_host(F.col("url"))).mapInPandas(run, fields)
+
+
 def settle_attempts(attempts: DataFrame, most: int = 3) -> DataFrame:
     """(url, tries, status, ok): what a retry loop of up to `most` tries makes of attempts(url, attempt, status, error), attempt from 1."""
     order = W.partitionBy("url").orderBy("attempt")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import html, http
 from quillspark.functions.urls import canonical
-from quillspark.operators.crawl import crawl, robots_allowed, settle_attempts
+from quillspark.operators.crawl import crawl, paced_fetch, robots_allowed, settle_attempts
 
 
 @pytest.mark.parametrize(
@@ -74,3 +74,22 @@ def test_robots_and_site(spark):
     pages = crawl(spark, ["http://A.com/a#x"], lambda frontier: site.join(frontier, "url", "left_semi"), robots, max_pages=4)
     assert {r.url for r in pages.collect()} == {"http://a.com/a", "http://a.com/b?a=2&b=1", "http://a.com/c"}
     assert crawl(spark, ["ftp://x"], lambda f: site.limit(0), robots).count() == 0
+
+def test_paced_fetch(spark):
+    answers = {"http://a.com/ok": [200], "http://a.com/busy": [429, 503, 200], "http://b.com/gone": [404], "http://b.com/down": [500, 500, 500], "http://c.com/slow": ["timeout"] * 3, "http://c.com/odd": ["odd"]}
+
+    def get(url, left={}):  # noqa: B006
+        left.setdefault(url, list(answers[url]))
+        step = left[url].pop(0)
+        if step == "timeout":
+            raise TimeoutError
+        if step == "odd":
+            raise ConnectionError
+        return {"status": step, "content_type": "text/html", "body": b"x", "retry_after": 3.0 if step == 429 else None}
+
+    frontier = spark.createDataFrame([(u,) for u in answers], "url string")
+    got = {r.url: (r.status, len(r.attempts), r.attempts[-1].error) for r in paced_fetch(get, sleep=lambda s: None, jitter=lambda: 0.0)(frontier).collect()}
+    assert got == {
+        "http://a.com/ok": (200, 1, None), "http://a.com/busy": (200, 3, None), "http://b.com/gone": (404, 1, None), "http://b.com/down": (500, 3, None),
+        "http://c.com/slow": (None, 3, "timeout"), "http://c.com/odd": (None, 1, "ConnectionError"),
+    }
