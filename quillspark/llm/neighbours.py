@@ -10,6 +10,7 @@ neighbour is likely to be one itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ STILL = 0.002
 CODES = "id bigint, model string, code binary, scale float"
 LISTS = "id bigint, model string, near array<bigint>, sims array<float>"
 
+#: Of nearest_exact: queries sent out at once (256 bytes each at 64 dimensions), rows per task at least when there are many,
+#: and more than a float32 product of unit vectors is off.
+QUERY_ROWS, SCAN_ROWS, SLIP = 100_000, 250_000, 2e-5
+
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, float32 rows) of the lists that have `dims` finite components and are not all zero."""
@@ -372,3 +377,79 @@ def graph_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, k: int,
         if held.filter("not opened").isEmpty():
             break
     return held.withColumn("place", place).filter(F.col("place") <= k).select("qid", "node", "sim", "place")
+
+
+def nearest_exact(vectors: DataFrame, wanted: str, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", model_col: str | None = "model", dims: int = 64) -> DataFrame:
+    """(id, model, near, sim, place): the k most similar of its model for every usable vector that meets `wanted`, a condition on id.
+
+    Every wanted vector is compared with every vector of its model, so nothing is missed and the work is their product. The wanted
+    ones are broadcast, QUERY_ROWS at a time; each task keeps k per wanted vector. A float32 product picks whatever could be
+    among them, which float64 then decides; similarities equal in 12 places are ordered by id. Unit vectors are kept in float32, so places may
+    differ where similarities do by less than about 1e-8. Unusable vectors (see vector_codes) are left out; if rows of one id disagree, the one of the smallest unit vector in bytes counts.
+    """
+    model = F.col(model_col).cast("string") if model_col else F.lit("")
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), model.alias("model"), F.col(vec_col).alias("v")).filter("id is not null and v is not null")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = _matrix(batch.column(2), dims)
+            if len(at):
+                keep = pa.array(at)
+                units = pa.Array.from_buffers(pa.binary(4 * dims), len(at), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), units], ["id", "model", "unit"])
+
+    units = durable(rows.mapInArrow(unit, "id bigint, model string, unit binary").groupBy("id", "model").agg(F.min("unit").alias("unit")))
+    n, asked = units.count(), units.filter(wanted).count()
+    sc = units.sparkSession.sparkContext
+    slices = units.coalesce(max(2 * sc.defaultParallelism, -(-n // SCAN_ROWS)))
+    passes = max(1, -(-asked // QUERY_ROWS))
+    place = F.row_number().over(W.partitionBy("id", "model").orderBy(F.desc("sim"), "near"))
+    found = []
+    for number in range(passes):
+        by: dict[str | None, tuple[list[int], list[bytes]]] = {}
+        for r in units.filter(wanted).filter(F.pmod(F.xxhash64("id", "model"), F.lit(passes)) == number).collect():
+            ids, held = by.setdefault(r.model, ([], []))
+            ids.append(r.id)
+            held.append(bytes(r.unit))
+        queries = {m: (np.array(ids, np.int64), np.frombuffer(b"".join(held), np.float32).reshape(-1, dims)) for m, (ids, held) in by.items()}
+        shared = sc.broadcast(queries)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            # per model: the best so far as (query row, id, similarity), and what a similarity must reach
+            best = {m: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for m in shared.value}
+            floor = {m: np.full(len(ids), -2.0) for m, (ids, _) in shared.value.items()}
+            for batch in batches:
+                models = np.array(batch.column(1).to_pylist(), object)
+                for m in set(models.tolist()) & shared.value.keys():
+                    at = np.flatnonzero([x == m for x in models])
+                    ids = np.asarray(batch.column(0))[at]
+                    x = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), np.float32).reshape(-1, dims)
+                    qids, q = shared.value[m]
+                    new = [best[m]]
+                    step = max(1, (1 << 21) // len(ids))
+                    for lo in range(0, len(qids), step):
+                        s = q[lo : lo + step] @ x.T
+                        least = floor[m][lo : lo + step]
+                        if len(ids) > k + 1 and (least == -2).any():  # one place more, for a vector finds itself
+                            least = np.maximum(least, np.partition(s, -k - 1, axis=1)[:, -k - 1])
+                        i, j = np.nonzero(s >= (least - SLIP)[:, None])
+                        i += lo
+                        i, j = (a[qids[i] != ids[j]] for a in (i, j))
+                        exact = np.concatenate([np.einsum("ij,ij->i", q[i[c : c + 65536]].astype(float), x[j[c : c + 65536]].astype(float)) for c in range(0, len(i), 65536)] or [np.zeros(0)])
+                        top, starts, near, sims = _top(i, ids[j], np.round(exact, 12), k)  # many equal vectors must not pile up
+                        new.append((np.repeat(top, np.diff(np.concatenate((starts, [len(near)])))), near, sims))
+                    top, starts, near, sims = _top(*(np.concatenate(a) for a in zip(*new, strict=True)), k)
+                    sizes = np.diff(np.concatenate((starts, [len(near)])))
+                    best[m] = (np.repeat(top, sizes), near, sims)
+                    full = sizes == k
+                    floor[m][top[full]] = sims[starts[full] + k - 1]
+            for m, (i, near, sims) in best.items():
+                for c in range(0, len(i), 65536):
+                    part = slice(c, c + 65536)
+                    columns = [pa.array(shared.value[m][0][i[part]]), pa.array([m] * len(i[part]), pa.string()), pa.array(near[part]), pa.array(sims[part])]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "model", "near", "sim"])
+
+        hits = slices.mapInArrow(scan, "id bigint, model string, near bigint, sim double")
+        found.append(durable(hits.withColumn("place", place).filter(F.col("place") <= k)))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,12 +9,12 @@ from pyspark.sql import functions as F
 from quillspark.llm.fuse import fuse_scores
 from quillspark.llm.leaks import find_leaks
 from quillspark.llm.mainbody import main_lines
-from quillspark.llm.neighbours import graph_search, neighbour_graph, similar_pairs, vector_codes
+from quillspark.llm.neighbours import nearest_exact, similar_pairs
 from quillspark.llm.pack import pack_texts
 from quillspark.llm.pieces import split_texts
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
 from quillspark.llm.truncation import find_truncated, truncation_shares
-from quillspark.session import durable, table
+from quillspark.session import table
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -49,21 +47,9 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3_search(spark: SparkSession, d: str) -> DataFrame:
-    """Ten most alike for every chunk whose id is divisible by 100, against all chunks of its model; one search per model."""
-    codes = durable(vector_codes(table(spark, d, "chunks"), "chunk_id", "embedding", "model", 64))
-    graph = neighbour_graph(codes, 16, 64, probes=3, sample=6, rounds=1, reverse=True)
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "node"))
-    found = []
-    for (model,) in codes.select("model").distinct().collect():
-        own, links = (x.filter(F.col("model").eqNullSafe(F.lit(model))) for x in (codes, graph))
-        queries = own.filter("id % 100 = 0").withColumnRenamed("id", "qid")
-        hits = graph_search(links, own, queries, 11, 64, beam=128, width=16).filter("qid <> node")
-        ranked = hits.withColumn("place", place).filter("place <= 10")
-        similarity = F.round(F.col("sim").cast("double"), 2).alias("similarity")
-        found.append(ranked.select(F.col("qid").alias("chunk_id"), F.lit(model).alias("model"), F.col("node").alias("near_id"), "place", similarity))
-    if not found:
-        return spark.createDataFrame([], "chunk_id bigint, model string, near_id bigint, place int, similarity double")
-    return reduce(DataFrame.unionByName, found)
+    """Ten most alike for every chunk whose id is divisible by 100, against all chunks of its model."""
+    hits = nearest_exact(table(spark, d, "chunks"), "id % 100 = 0", 10)
+    return hits.select(F.col("id").alias("chunk_id"), "model", F.col("near").alias("near_id"), "place", F.round("sim", 2).alias("similarity"))
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:

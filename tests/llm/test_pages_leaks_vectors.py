@@ -134,3 +134,25 @@ def test_graph_search_recall(spark):
     recall = [len(got[i] & set(np.argsort(-(unit @ unit[i]))[:10].tolist())) / 10 for i in range(0, 1200, 100)]
     assert np.mean(recall) >= 0.9
     assert graph_search(graph, codes, queries.limit(0), 5, 16).count() == 0
+
+
+def test_search_query_misses_nothing(spark, tmp_path):
+    from quillspark.llm.queries import QUERIES
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[5001] = x[5000]  # equal vectors of two ids
+    rows = [(i, v.tolist(), "a" if i % 6 else None) for i, v in enumerate(x)]
+    rows += [rows[100], (6000, None, "a"), (6100, [0.0] * 64, "a"), (6200, [float("nan")] * 64, "a"), (6300, [1.0] * 32, "a"), (6400, [1.0] * 64, "alone")]
+    spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>, model string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {}
+    for r in QUERIES["p3_search"](spark, str(tmp_path)).orderBy("place").collect():
+        got.setdefault((r.chunk_id, r.model), []).append((r.near_id, r.place))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 6000, 100):
+        s = unit @ unit[i]
+        s[(np.arange(6000) % 6 == 0) != (i % 6 == 0)] = -3
+        s[i] = -3
+        want[i, "a" if i % 6 else None] = [(n, p + 1) for p, n in enumerate(np.argsort(-s, kind="stable")[:10].tolist())]
+    assert got == want
