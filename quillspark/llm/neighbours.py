@@ -306,7 +306,7 @@ def similar_pairs(
     gives an empty result.
     """
     codes = durable(vector_codes(vectors, id_col, vec_col, model_col, dims))
-    graph = neighbour_graph(codes, partners, dims, probes, sample, rounds)
+    graph = neighbour_graph(codes, partners, dims, probes, sample, rounds, reverse=True)
     near = graph.select("id", "model", F.explode(F.arrays_zip("near", "sims")).alias("e")).filter(F.col("e.sims") >= threshold - MARGIN)
     pairs = near.select(F.least("id", "e.near").alias("a"), F.greatest("id", "e.near").alias("b"), "model").distinct()
     model = F.col(model_col).cast("string") if model_col else F.lit("")

@@ -156,3 +156,12 @@ def test_search_query_misses_nothing(spark, tmp_path):
         s[i] = -3
         want[i, "a" if i % 6 else None] = [(n, p + 1) for p, n in enumerate(np.argsort(-s, kind="stable")[:10].tolist())]
     assert got == want
+
+
+def test_similar_pairs_follows_links_backwards(spark, monkeypatch):
+    from quillspark.llm import neighbours
+
+    start = spark.createDataFrame([(0, "a", [1], [0.9]), (1, "a", [0], [0.9]), (2, "a", [0], [0.9])], neighbours.LISTS)
+    monkeypatch.setattr(neighbours, "_start_lists", lambda *_: start)
+    df = spark.createDataFrame([(i, [1.0, 0.1 * i], "a") for i in range(3)], "chunk_id bigint, embedding array<float>, model string")
+    assert {(r.id_a, r.id_b) for r in similar_pairs(df, dims=2).collect()} == {(0, 1), (0, 2), (1, 2)}
