@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,24 +42,59 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder and cut the lineage.
-
-    The folder is the one the session names in spark.checkpoint.dir; only a local session that
-    names none gets a temporary folder of its own. Lost executors cost nothing already written.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; only a local session that names none gets a temporary folder, removed when Python ends."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise in the cluster's shared checkpoint folder and cut the lineage. Lost executors cost nothing already written."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Removes the shuffle files of a statement when it ends, where the Spark version knows it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like durable, but as a Parquet table of its own, which release() deletes; the exchanges that led to it are deleted at once.
+
+    For steps of iterative jobs: disks hold the current step and not all the earlier ones.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._written = folder
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what written() made. Nothing that reads it may be evaluated afterwards."""
+    folder = df.__dict__.get("_written")
+    if folder is not None:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the counted rows of df fit the broadcast limit; `row_bytes` is the width of one row in memory."""
     most = limit // max(1, row_bytes)
