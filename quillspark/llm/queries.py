@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.fuse import fuse_scores
 from quillspark.llm.leaks import find_leaks
 from quillspark.llm.mainbody import main_lines
-from quillspark.llm.neighbours import nearest_exact, similar_pairs
+from quillspark.llm.neighbours import nearest_by_graph, nearest_exact, similar_pairs
 from quillspark.llm.pack import pack_texts
 from quillspark.llm.pieces import split_texts
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
@@ -47,9 +47,25 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3_search(spark: SparkSession, d: str) -> DataFrame:
-    """Ten most alike for every chunk whose id is divisible by 100, against all chunks of its model."""
-    hits = nearest_exact(table(spark, d, "chunks"), "id % 100 = 0", 10)
-    return hits.select(F.col("id").alias("chunk_id"), "model", F.col("near").alias("near_id"), "place", F.round("sim", 2).alias("similarity"))
+    """Ten most alike for every chunk whose id is divisible by 100, against all chunks of its model, by greedy search on the neighbour graph."""
+    hits = nearest_by_graph(table(spark, d, "chunks"), "id % 100 = 0", 10)
+    return hits.select(F.col("id").alias("chunk_id"), "model", F.col("near").alias("near_id"), "place", F.round("sim", 6).alias("similarity"))
+
+
+def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(model, asked, recall) of (id, model, near, sim): the share of the true places that were reached; a tie with the last place counts."""
+    keys = ["id", "model"]
+    last = exact.groupBy(*keys).agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("of"))
+    good = found.join(last, keys).groupBy(*keys).agg(F.count_if(F.col("sim") >= F.col("last") - 1e-6).alias("good"))
+    per = last.join(good, keys, "left").withColumn("good", F.least(F.coalesce("good", F.lit(0)), "of"))
+    return per.groupBy("model").agg(F.count(F.lit(1)).alias("asked"), (F.sum("good") / F.sum("of")).alias("recall"))
+
+
+def _p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether p3_search reaches nine in ten of the true places, per model, by brute force over all chunks."""
+    chunks = table(spark, d, "chunks")
+    recall = recall_at(nearest_by_graph(chunks, "id % 100 = 0", 10), nearest_exact(chunks, "id % 100 = 0", 10))
+    return recall.select("model", "asked", (F.col("recall") >= 0.9).alias("reached"))
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +128,7 @@ QUERIES = {
     "p2_terms": _p2_terms,
     "p3_found": _p3_found,
     "p3_search": _p3_search,
+    "p3_recall": _p3_recall,
     "p4_found": _p4_found,
     "p4_bodies": _p4_bodies,
     "p6_found": _p6_found,

@@ -62,6 +62,9 @@ SELECT term, mark FROM t WHERE mark IS NOT NULL""",
     AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY chunk_id, model)
 SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b
 ON a.model IS NOT DISTINCT FROM b.model AND a.chunk_id < b.chunk_id AND list_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p3_recall": """SELECT model, count(DISTINCT chunk_id) AS asked, true AS reached FROM chunks
+WHERE chunk_id % 100 = 0 AND len(embedding) = 64 AND len([x for x in embedding if isfinite(x)]) = 64
+  AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY model""",
     "p6_found": f"""{_fused(_PLACE, '1')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, doc_id) AS p FROM fused)
 SELECT query_id, doc_id FROM r WHERE p <= 5""",
