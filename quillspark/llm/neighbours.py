@@ -26,13 +26,15 @@ SAMPLE = 16_384
 #: Nodes aimed at per cell, which is what one task holds of a tree at a time, and most pivots of one division.
 CELL, FAN = 8192, 256
 #: Trees whose lists are merged at a time.
-WAVE = 4
+WAVE = 8
 #: Bound on the error of a cosine between two codes (64 dimensions; measured: 0.0013 at most).
 MARGIN = 0.005
 #: Nodes per task of the merge and local join steps.
 TASK_ROWS = 20_000
 #: Rounds end when fewer than this share of all list places changed.
 STILL = 0.002
+#: Similarity of a link that was put down without comparing.
+UNSEEN = -2.0
 #: Stands for a null model inside the graph; no name can be it.
 NO_MODEL = "\0"
 
@@ -90,24 +92,30 @@ def code_classes(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.drop("n"), copies
 
 
-def _units(code: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+def _units(code: pa.Array | pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as unit vectors, and the lengths they had."""
     x = np.frombuffer(b"".join(code.to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    norm = np.linalg.norm(x, axis=1)
+    return x / norm[:, None], norm
+
+
+def _settled(sims: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same similarity for the same two codes, however it was multiplied out: products of codes are whole numbers. a and b are their lengths."""
+    return np.rint(sims * (a * b)) / (a * b)
 
 
 def _top(ids: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Of flat (id, near, sim[, fresh]) rows: the distinct ids, where their lists start, and the k best distinct neighbours of each.
 
-    Of repeated links the one that is not fresh stays.
+    Repeated links have one similarity (see _settled); the one that is not fresh stays.
     """
+    keys = (near, -sims, ids) if fresh is None else (fresh, near, -sims, ids)
     fresh = np.zeros(len(ids), bool) if fresh is None else fresh
-    order = np.lexsort((-sims, fresh, near, ids))
+    order = np.lexsort(keys)
     ids, near, sims, fresh = ids[order], near[order], sims[order], fresh[order]
     first = np.ones(len(ids), bool)
     first[1:] = (ids[1:] != ids[:-1]) | (near[1:] != near[:-1])
     ids, near, sims, fresh = ids[first], near[first], sims[first], fresh[first]
-    order = np.lexsort((near, -sims, ids))
-    ids, near, sims, fresh = ids[order], near[order], sims[order], fresh[order]
     starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
     place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(ids)]))))
     keep = place < k
@@ -205,7 +213,7 @@ def _blocks(x: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[np.n
         todo += parts
 
 
-def _best(x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a block: the k most similar others of every row, and how similar."""
     size = len(rows)
     near, sims = np.empty((size, k), np.int64), np.empty((size, k), np.float32)
@@ -215,7 +223,7 @@ def _best(x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         near[lo : lo + step], sims[lo : lo + step] = rows[best], np.take_along_axis(s, best, axis=1)
-    return near, sims
+    return near, _settled(sims, norm[rows][:, None], norm[near])
 
 
 def _tree_lists(nodes: DataFrame, sample: list, n: int, first: int, trees: int, k: int, dims: int, block: int) -> DataFrame:
@@ -235,20 +243,20 @@ def _tree_lists(nodes: DataFrame, sample: list, n: int, first: int, trees: int,
             models = np.array(batch.column(1).to_pylist(), object)
             for model in set(models.tolist()):
                 mine = batch.take(pa.array(np.flatnonzero(models == model)))
-                x = _units(mine.column(2), dims)
+                x, _ = _units(mine.column(2), dims)
                 for t in range(trees):
                     # a model that the sample missed is small; it is one cell
                     cell = shared.value[model][t].cells(x) if model in shared.value else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(cell * (first + trees) + first + t)], ["id", "model", "code", "cell"])
 
     def compare(table: pa.Table) -> pa.Table:
-        x = _units(table.column("code"), dims)
+        x, norm = _units(table.column("code"), dims)
         ids = np.asarray(table.column("id"))
         model = table.column("model")[0].as_py()
         out = []
         for rows in _blocks(x, block, np.random.default_rng(table.column("cell")[0].as_py())):  # each tree divides in its own way
             kk = min(k, len(rows) - 1)
-            near, sims = _best(x, rows, kk) if kk else (np.zeros((1, 0), np.int64), np.zeros((1, 0), np.float32))
+            near, sims = _best(x, norm, rows, kk) if kk else (np.zeros((1, 0), np.int64), np.zeros((1, 0), np.float32))
             out.append(_batch(model, ids[rows], np.arange(len(rows)) * kk, ids[near.ravel()], sims.ravel()))
         return pa.Table.from_batches(out)
 
@@ -264,7 +272,7 @@ def _scattered(nodes: DataFrame, n: int, k: int) -> DataFrame:
         rows = nodes.select("id", "model", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(max(1, n // size))).alias("g"))
         flat = rows.groupBy("model", "g").agg(F.collect_list("id").alias("all")).select("model", "all", F.explode("all").alias("id"))
         near = F.filter("all", lambda x: x != F.col("id"))
-        found.append(flat.select("id", "model", near.alias("near"), F.transform(near, lambda x: F.lit(-1.0).cast("float")).alias("sims")))
+        found.append(flat.select("id", "model", near.alias("near"), F.transform(near, lambda x: F.lit(UNSEEN).cast("float")).alias("sims")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -279,7 +287,7 @@ def _round(nodes: DataFrame, graph: DataFrame, k: int, sample: int, dims: int, p
     one = F.transform(F.array_distinct(F.transform("all", lambda x: x["u"])), lambda u: F.struct(u.alias("u"), F.exists("all", lambda y: (y["u"] == u) & y["new"]).alias("new")))
     edges = both.filter(F.exists("all", lambda x: x["new"])).select("v", "model", F.explode(one).alias("e")).select("v", "model", "e.u", "e.new")
     # what travels with a neighbour: its code and the similarity it must beat
-    weakest = F.when(F.size("near") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0).cast("float"))
+    weakest = F.when(F.size("near") >= k, F.element_at("sims", -1)).otherwise(F.lit(UNSEEN).cast("float"))
     state = graph.select(F.col("id").alias("u"), "model", weakest.alias("floor"))
     node = nodes.withColumnRenamed("id", "u").join(state, ["u", "model"])
     sent = edges.join(node, ["u", "model"]).select("v", "u", "model", "code", "floor", "new").repartition(parts, "v")
@@ -292,7 +300,7 @@ def _round(nodes: DataFrame, graph: DataFrame, k: int, sample: int, dims: int, p
         coded = table["model"].dictionary_encode()
         of, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
         v, u, floor, new = (np.asarray(table[c]) for c in ("v", "u", "floor", "new"))
-        x = _units(table["code"], dims)
+        x, norm = _units(table["code"], dims)
         order = np.lexsort((u, v, of))
         bounds = np.flatnonzero(np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (of[order][1:] != of[order][:-1]))))
         sizes = np.diff(np.concatenate((bounds, [len(order)])))
@@ -303,10 +311,11 @@ def _round(nodes: DataFrame, graph: DataFrame, k: int, sample: int, dims: int, p
             for lo in range(0, len(starts) if g > 1 else 0, step):
                 rows = order[starts[lo : lo + step, None] + np.arange(g)[None, :]]
                 s = np.matmul(x[rows], x[rows].transpose(0, 2, 1))
-                better = (s > floor[rows][:, :, None]) & (new[rows][:, :, None] | new[rows][:, None, :])
+                better = (s > floor[rows][:, :, None] - 1e-6) & (new[rows][:, :, None] | new[rows][:, None, :])
                 better[:, np.arange(g), np.arange(g)] = False
                 at, i, j = np.nonzero(better)
-                for into, values in zip(found, (of[rows[at, i]], u[rows[at, i]], u[rows[at, j]], s[at, i, j]), strict=True):
+                first, second = rows[at, i], rows[at, j]
+                for into, values in zip(found, (of[first], u[first], u[second], _settled(s[at, i, j], norm[first], norm[second])), strict=True):
                     into.append(values)
         if not found[0]:
             return
@@ -359,6 +368,9 @@ def neighbour_graph(nodes: DataFrame, k: int, dims: int, trees: int = 8, block:
             trace.append(graph)
         if graph.agg(F.coalesce(F.sum(F.size(F.filter("fresh", lambda x: x))), F.lit(0)).alias("c")).first().c < STILL * n * k:
             break
+    if not trees:  # links never compared do not come out
+        kept = F.filter(F.arrays_zip("near", "sims", "fresh"), lambda x: x["sims"] > UNSEEN)
+        graph = graph.select("id", "model", *[F.transform(kept, lambda x, c=c: x[c]).alias(c) for c in ("near", "sims", "fresh")])
     return graph
 
 
@@ -422,7 +434,7 @@ def _scored(rows: DataFrame, nodes: DataFrame, queries: DataFrame, dims: int) ->
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sims = np.einsum("ij,ij->i", _units(b.column(3), dims), _units(b.column(4), dims))
+                sims = np.einsum("ij,ij->i", _units(b.column(3), dims)[0], _units(b.column(4), dims)[0])
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sims, pa.float32())], ["qid", "model", "node", "sim"])
 
     return sides.select("qid", "model", "node", "code", "asked").mapInArrow(multiply, "qid bigint, model string, node bigint, sim float")
@@ -447,7 +459,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int,
         by: dict[str, list] = {}
         for r in nodes.filter(part).limit(SAMPLE).collect():
             by.setdefault(r.model, []).append(r)
-        shared = spark.sparkContext.broadcast({m: (np.array([r.id for r in rows]), _units(pa.array([bytes(r.code) for r in rows]), dims)) for m, rows in by.items()})
+        shared = spark.sparkContext.broadcast({m: (np.array([r.id for r in rows]), _units(pa.array([bytes(r.code) for r in rows]), dims)[0]) for m, rows in by.items()})
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -456,7 +468,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int,
                     mine = b.take(pa.array(np.flatnonzero(models == model)))
                     ids, at = shared.value[model]
                     m = min(max(1, beam // 2), len(ids))
-                    s = _units(mine.column(2), dims) @ at.T
+                    s = _units(mine.column(2), dims)[0] @ at.T
                     best = np.argpartition(-s, m - 1, axis=1)[:, :m]
                     qid = np.repeat(np.asarray(mine.column(0)), m)
                     columns = [pa.array(qid), pa.array([model] * len(qid), pa.string()), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel(), pa.float32())]
