@@ -284,8 +284,8 @@ def _round(nodes: DataFrame, graph: DataFrame, k: int, sample: int, dims: int, p
     place = F.row_number().over(W.partitionBy("v", "model").orderBy(F.desc("s"), "u"))
     from_ = back.withColumn("p", place).filter(F.col("p") <= sample).groupBy("v", "model").agg(F.collect_list(F.struct("u", "new")).alias("from"))
     both = head.join(from_, ["v", "model"], "left").select("v", "model", F.concat("to", F.coalesce("from", F.array().cast("array<struct<u:bigint,new:boolean>>"))).alias("all"))
-    one = F.transform(F.array_distinct(F.transform("all", lambda x: x["u"])), lambda u: F.struct(u.alias("u"), F.exists("all", lambda y: (y["u"] == u) & y["new"]).alias("new")))
-    edges = both.filter(F.exists("all", lambda x: x["new"])).select("v", "model", F.explode(one).alias("e")).select("v", "model", "e.u", "e.new")
+    # a link known in both directions stays once, unless only one of them is fresh
+    edges = both.filter(F.array_contains("all.new", True)).select("v", "model", F.explode(F.array_distinct("all")).alias("e")).select("v", "model", "e.u", "e.new")
     # what travels with a neighbour: its code and the similarity it must beat
     weakest = F.when(F.size("near") >= k, F.element_at("sims", -1)).otherwise(F.lit(UNSEEN).cast("float"))
     state = graph.select(F.col("id").alias("u"), "model", weakest.alias("floor"))
@@ -312,7 +312,7 @@ def _round(nodes: DataFrame, graph: DataFrame, k: int, sample: int, dims: int, p
                 rows = order[starts[lo : lo + step, None] + np.arange(g)[None, :]]
                 s = np.matmul(x[rows], x[rows].transpose(0, 2, 1))
                 better = (s > floor[rows][:, :, None] - 1e-6) & (new[rows][:, :, None] | new[rows][:, None, :])
-                better[:, np.arange(g), np.arange(g)] = False
+                better &= u[rows][:, :, None] != u[rows][:, None, :]
                 at, i, j = np.nonzero(better)
                 first, second = rows[at, i], rows[at, j]
                 for into, values in zip(found, (of[first], u[first], u[second], _settled(s[at, i, j], norm[first], norm[second])), strict=True):
