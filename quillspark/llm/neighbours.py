@@ -152,6 +152,11 @@ def _merge(old: DataFrame | None, news: DataFrame, k: int, parts: int) -> DataFr
         near, sims = np.asarray(near_.flatten()), np.asarray(sims_.flatten())
         every, owner, fresh = np.asarray(ids_), np.repeat(np.asarray(ids_), n), np.repeat(np.asarray(new_), n)
         of = np.repeat(kind, n)
+        if (sims <= UNSEEN).any():  # a link that has been compared meanwhile replaces itself
+            order = np.lexsort((-sims, near, owner, of))
+            once = np.ones(len(order), bool)
+            once[1:] = (np.diff(near[order]) != 0) | (np.diff(owner[order]) != 0) | (np.diff(of[order]) != 0)
+            near, sims, owner, fresh, of = (a[order[once]] for a in (near, sims, owner, fresh, of))
         for c, name in enumerate(coded.dictionary.to_pylist()):
             mine = of == c
             top = _top(owner[mine], near[mine], sims[mine], k, fresh[mine])
@@ -370,7 +375,7 @@ def neighbour_graph(nodes: DataFrame, k: int, dims: int, trees: int = 8, block:
             break
     if not trees:  # links never compared do not come out
         kept = F.filter(F.arrays_zip("near", "sims", "fresh"), lambda x: x["sims"] > UNSEEN)
-        graph = graph.select("id", "model", *[F.transform(kept, lambda x, c=c: x[c]).alias(c) for c in ("near", "sims", "fresh")])
+        graph = graph.withColumn("kept", kept).select("id", "model", *[F.col(f"kept.{c}").alias(c) for c in ("near", "sims", "fresh")])
     return graph
 
 

@@ -55,10 +55,11 @@ def _p3_search(spark: SparkSession, d: str) -> DataFrame:
 def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(model, asked, recall) of (id, model, near, sim): the share of the true places that were reached; a tie with the last place counts."""
     keys = ["id", "model"]
+    found, exact = (df.withColumn("model", F.struct("model")) for df in (found, exact))  # a null model is one too
     last = exact.groupBy(*keys).agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("of"))
     good = found.join(last, keys).groupBy(*keys).agg(F.count_if(F.col("sim") >= F.col("last") - 1e-6).alias("good"))
     per = last.join(good, keys, "left").withColumn("good", F.least(F.coalesce("good", F.lit(0)), "of"))
-    return per.groupBy("model").agg(F.count(F.lit(1)).alias("asked"), (F.sum("good") / F.sum("of")).alias("recall"))
+    return per.groupBy("model.model").agg(F.count(F.lit(1)).alias("asked"), (F.sum("good") / F.sum("of")).alias("recall"))
 
 
 def _p3_recall(spark: SparkSession, d: str) -> DataFrame:

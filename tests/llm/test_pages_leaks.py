@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.leaks import SeedIndex, _scan, find_leaks, holds, passage, plain_words
 from quillspark.llm.mainbody import NEAR, NEXT, _recursion, cut_lines, main_lines
-from quillspark.llm.neighbours import graph_search, neighbour_graph, similar_pairs, vector_codes
 
 
 def energy(costs, labels):
@@ -95,73 +94,3 @@ def test_window_rule():
     assert holds(one, edit, 18, 10)
     edit[4] = 1
     assert not holds(one, edit, 18, 10)
-
-
-def test_similar_pairs_and_recall(spark):
-    rng = np.random.default_rng(5)
-    base = rng.normal(size=(300, 16))
-    x = np.concatenate([base, base[:150] + 0.05 * rng.normal(size=(150, 16)), base[:60] + 0.05 * rng.normal(size=(60, 16))])
-    rows = [(i, v.astype(float).tolist(), "a") for i, v in enumerate(x)]
-    rows += [(0, rows[0][1], "a"), (900, None, "a"), (901, [1.0] * 4, "a"), (902, [0.0] * 16, "a"), (903, [float("nan")] * 16, "a"), (904, [float("inf")] + [1.0] * 15, "a")]
-    rows += [(905, rows[0][1], "b"), (906, rows[0][1], None), (907, rows[0][1], None), (None, rows[0][1], "a"), (908, [None] + [1.0] * 15, "a")]
-    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>, model string").withColumns({"id": F.lit("clash"), "near": F.lit(1)})
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = np.triu(unit @ unit.T, 1)
-    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(s >= 0.9), strict=True)} | {(906, 907)}
-    got = [(r.id_a, r.id_b) for r in similar_pairs(df, dims=16).collect()]
-    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want)
-    assert similar_pairs(df.limit(0), dims=16).count() == 0
-
-    codes = vector_codes(df.filter("model = 'a'"), "chunk_id", "embedding", "model", 16)
-    graph = {r.id: r.near for r in neighbour_graph(codes, 10, 16, probes=2, sample=10, rounds=4, reverse=True).collect()}
-    full = unit @ unit.T
-    np.fill_diagonal(full, -2)
-    top = np.argsort(-full, axis=1)[:, :10]
-    assert np.mean([len(set(graph[i]) & set(top[i].tolist())) / 10 for i in range(len(x))]) >= 0.9
-
-
-def test_graph_search_recall(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(1200, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id bigint, embedding array<float>")
-    codes = vector_codes(df, "chunk_id", "embedding", None, 16).cache()
-    graph = neighbour_graph(codes, 12, 16, probes=2, sample=8, rounds=2, reverse=True)
-    queries = codes.filter("id % 100 = 0").withColumnRenamed("id", "qid")
-    got = {}
-    for r in graph_search(graph, codes, queries, 10, 16, beam=64).collect():
-        got.setdefault(r.qid, set()).add(r.node)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    recall = [len(got[i] & set(np.argsort(-(unit @ unit[i]))[:10].tolist())) / 10 for i in range(0, 1200, 100)]
-    assert np.mean(recall) >= 0.9
-    assert graph_search(graph, codes, queries.limit(0), 5, 16).count() == 0
-
-
-def test_search_query_misses_nothing(spark, tmp_path):
-    from quillspark.llm.queries import QUERIES
-
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(6000, 64)).astype(np.float32)
-    x[5001] = x[5000]  # equal vectors of two ids
-    rows = [(i, v.tolist(), "a" if i % 6 else None) for i, v in enumerate(x)]
-    rows += [rows[100], (6000, None, "a"), (6100, [0.0] * 64, "a"), (6200, [float("nan")] * 64, "a"), (6300, [1.0] * 32, "a"), (6400, [1.0] * 64, "alone")]
-    spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>, model string").write.parquet(f"{tmp_path}/chunks.parquet")
-    got = {}
-    for r in QUERIES["p3_search"](spark, str(tmp_path)).orderBy("place").collect():
-        got.setdefault((r.chunk_id, r.model), []).append((r.near_id, r.place))
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    want = {}
-    for i in range(0, 6000, 100):
-        s = unit @ unit[i]
-        s[(np.arange(6000) % 6 == 0) != (i % 6 == 0)] = -3
-        s[i] = -3
-        want[i, "a" if i % 6 else None] = [(n, p + 1) for p, n in enumerate(np.argsort(-s, kind="stable")[:10].tolist())]
-    assert got == want
-
-
-def test_similar_pairs_follows_links_backwards(spark, monkeypatch):
-    from quillspark.llm import neighbours
-
-    start = spark.createDataFrame([(0, "a", [1], [0.9]), (1, "a", [0], [0.9]), (2, "a", [0], [0.9])], neighbours.LISTS)
-    monkeypatch.setattr(neighbours, "_start_lists", lambda *_: start)
-    df = spark.createDataFrame([(i, [1.0, 0.1 * i], "a") for i in range(3)], "chunk_id bigint, embedding array<float>, model string")
-    assert {(r.id_a, r.id_b) for r in similar_pairs(df, dims=2).collect()} == {(0, 1), (0, 2), (1, 2)}

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.pytext import py_tokens
 from quillspark.llm.pack import pack_texts, plan_patterns
 from quillspark.llm.pieces import cut_offsets, split_texts
-from quillspark.llm.truncation import ending, find_truncated, fit_censored, truncation_shares
+from quillspark.llm.truncation import ENDINGS as KINDS
+from quillspark.llm.truncation import ending, find_truncated, fit_censored, truncation_shares, weigh_endings
 
 
 def test_cuts_hold_on_random_texts():
@@ -91,7 +92,7 @@ def test_packing(spark):
 ENDINGS = {
     "He laughed.": "sentence", 'He said "no."': "sentence", "Really?»  \n": "sentence", "And then the sea": "line", "One.\nAnd then the long road to the\nsea and the": "open",
     "One.\n— Harken": "closing", "One.\n- a kettle": "closing", "One.\n(41)": "closing", "One.\nTHE END": "closing", "One.\n* * *": "closing", "One.\nhttps://a.example/x": "closing",
-    "One.\nTags: a, b, c": "closing", "One.\nXIV\nFenyar & Selmel": "closing", "One.\nHe went…": "dots", "One.\nHe went ca<": "open", "One.\nHe went &am": "open", "One. He w�": "open",
+    "One.\nTags: a, b, c": "closing", "One.\nXIV\nFenyar & Selmel": "closing", "One.\nHe went…": "dots", "One.\nHe went...": "marked", "One.\rHe went [...]": "marked", "One.\nHe went ca<": "open", "One.\nHe went &am": "open", "One. He w�": "open",
     "One.\n\nB": "open", "": None, " \n": None, None: None, "One.\nTags: " + "a, " * 20000 + "b": "closing",
 }
 
@@ -137,3 +138,20 @@ def test_truncation_by_limit_and_ending(spark):
     shares = {r.source: (r.documents, r.truncated) for r in truncation_shares(find_truncated(df)).collect()}
     assert shares["short"][0] == len(data) - 1 and set(shares) == {"short", None}
     assert find_truncated(df.limit(0)).count() == 0
+    # the lengths decide: without them, texts cut to the limit with dots added cannot be told from deliberate dots
+    blind = {r.doc_id for r in find_truncated(df, use_lengths=False).collect() if r.truncated}
+    dotted = {d for d, _, text, cut in data if cut and text.endswith("...")}
+    assert dotted and dotted <= {d for d, r in got.items() if r.truncated} and not dotted & blind
+
+
+def test_weights_of_endings_are_estimated():
+    rng = random.Random(4)
+    whole, cut = {"sentence": 0.8, "closing": 0.15, "dots": 0.05}, {"dots": 0.2, "closing": 0.01, "open": 0.79}
+    cells = Counter()
+    for _ in range(40000):
+        p = 0.95 if rng.random() < 0.1 else 0.0
+        kinds = cut if rng.random() < 1 - (1 - p) * 0.98 else whole
+        cells[p, rng.choices(list(kinds), kinds.values())[0]] += 1
+    weights, share = weigh_endings([(p, e, n) for (p, e), n in cells.items()])
+    assert set(weights) == set(KINDS) and abs(share - 0.02) < 0.004
+    assert abs(weights["dots"] - np.log(0.2 / 0.05)) < 0.3 and weights["closing"] < -2 and weights["open"] > 6 and weights["sentence"] == -np.inf
