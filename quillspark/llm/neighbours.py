@@ -36,7 +36,7 @@ STILL = 0.002
 #: Similarity of a link that was put down without comparing.
 UNSEEN = -2.0
 #: Stands for a null model inside the graph; no name can be it.
-NO_MODEL = "\0"
+NO_MODEL = "\x01"
 
 CODES = "id bigint, model string, code binary"
 LISTS = "id bigint, model string, near array<bigint>, sims array<float>"

@@ -41,7 +41,8 @@ def ending(text: Column) -> Column:
     body = F.rtrim(text, F.lit(_BLANKS))
     lines = F.regexp_replace(F.substring_index(body, "\n", -3), r"\r\n?", "\n")
     last = F.trim(F.regexp_replace(F.substring_index(lines, "\n", -1), "\u00a0", " "))
-    before = F.trim(F.element_at(F.split(lines, "\n"), -2))
+    parts = F.split(lines, "\n")
+    before = F.trim(F.get(parts, F.size(parts) - 2))
     tail_word = F.substring_index(last, " ", -1)
     closing = (
         last.rlike(r"^[—–-] ?\p{Lu}[^\s]*( \p{Lu}\S*){0,3}$")
