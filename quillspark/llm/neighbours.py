@@ -226,7 +226,7 @@ def _best(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, k: int) -> tuple[np
     for lo in range(0, size, step):
         s = x[rows[lo : lo + step]] @ x[rows].T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        best = np.argpartition(s, size - k, axis=1)[:, size - k :]
         near[lo : lo + step], sims[lo : lo + step] = rows[best], np.take_along_axis(s, best, axis=1)
     return near, _settled(sims, norm[rows][:, None], norm[near])
 
@@ -255,6 +255,7 @@ def _tree_lists(nodes: DataFrame, sample: list, n: int, first: int, trees: int,
                     yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(cell * (first + trees) + first + t)], ["id", "model", "code", "cell"])
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")  # the same blocks whatever order rows arrive in
         x, norm = _units(table.column("code"), dims)
         ids = np.asarray(table.column("id"))
         model = table.column("model")[0].as_py()
@@ -365,13 +366,11 @@ def neighbour_graph(nodes: DataFrame, k: int, dims: int, trees: int = 8, block:
         graph = step(_scattered(nodes, n, k))
     if trace is not None:
         trace.append(graph)
-    for _ in range(rounds):
-        news = written(_round(nodes, graph, k, sample, dims, parts))
-        graph = step(news)
-        release(news)
+    for number in range(1, rounds + 1):
+        graph = step(_round(nodes, graph, k, sample, dims, parts))
         if trace is not None:
             trace.append(graph)
-        if graph.agg(F.coalesce(F.sum(F.size(F.filter("fresh", lambda x: x))), F.lit(0)).alias("c")).first().c < STILL * n * k:
+        if number < rounds and graph.agg(F.coalesce(F.sum(F.size(F.filter("fresh", lambda x: x))), F.lit(0)).alias("c")).first().c < STILL * n * k:
             break
     if not trees:  # links never compared do not come out
         kept = F.filter(F.arrays_zip("near", "sims", "fresh"), lambda x: x["sims"] > UNSEEN)
