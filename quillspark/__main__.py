@@ -13,7 +13,7 @@ from quillspark.engine import Engine
 from quillspark.operators.index import build_index
 from quillspark.operators.semantic import chunk_documents, embed_chunks, hash_encoder
 from quillspark.operators.stats import corpus_stats, top_terms
-from quillspark.session import local_session
+from quillspark.session import cluster_session
 from quillspark.sources.corpus import read_corpus
 from quillspark.sources.store import load, load_vectors, save, save_vectors
 
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("index")
     p.add_argument("--out", required=True)
     a = top.parse_args(argv)
-    spark = local_session()
+    spark = cluster_session()
     try:
         if a.command == "index":
             began = time.time()

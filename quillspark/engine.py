@@ -70,16 +70,3 @@ def format_hit(score, doc_id, title, snippet=None):  # noqa: ANN001, ANN201
     """Columns of a hit as one line of a report, the snippet on a second one."""
     line = F.format_string("%8.4f  %d  %s", score, doc_id, title)
     return line if snippet is None else F.when(F.length(snippet) > 0, F.concat(line, F.lit("\n          "), snippet)).otherwise(line)
-
-
-def page_window(page: int, last: int) -> list[int | None]:
-    """Page numbers to offer, None where some are left out: all of up to seven, else the ends and the neighbours of `page`."""
-    if last <= 7:
-        return list(range(1, last + 1))
-    shown = sorted({1, last, *(p for p in (page - 1, page, page + 1) if 1 <= p <= last)})
-    out: list[int | None] = []
-    for p in shown:
-        if out and out[-1] is not None and p - out[-1] > 1:
-            out.append(None)
-        out.append(p)
-    return out

@@ -128,7 +128,7 @@ def save_index(index: SearchIndex, folder: str) -> None:
     and reads few row groups of them."""
     spark = index.docs.sparkSession
     with ThreadPoolExecutor(1) as pool:  # documents are written while the postings are counted
-        docs = pool.submit(lambda: index.docs.write.mode("overwrite").parquet(f"{folder}/docs"))
+        docs = pool.submit(lambda: index.docs.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/docs"))
         # df and cf come from the written postings, which costs a scan of two columns instead of tokenizing again
         index.postings.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         docs.result()

@@ -58,6 +58,16 @@ def _locate(hist: DataFrame, wanted: DataFrame) -> DataFrame:
     return at.select("k", "q", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "lo", "hi")
 
 
+def _totals(hist: DataFrame) -> DataFrame:
+    return hist.groupBy("k").agg(
+        F.sum("rows").alias("n_rows"),
+        F.sum("n").alias("n_values"),
+        F.coalesce(F.sum("s"), F.lit(0)).alias("total"),
+        F.min("lo").alias("smallest"),
+        F.max("hi").alias("largest"),
+    )
+
+
 def key_profile(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...] = (0.5,), max_rounds: int = 64) -> DataFrame:
     """One row per key: n_rows, n_values, total, smallest, largest and q<percent> per quantile, all exact.
 
@@ -73,21 +83,23 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...
     hist = key_histogram(df, key, value)
     if quantiles:
         hist = durable(hist)
-    totals = hist.groupBy("k").agg(
-        F.sum("rows").alias("n_rows"),
-        F.sum("n").alias("n_values"),
-        F.coalesce(F.sum("s"), F.lit(0)).alias("total"),
-        F.min("lo").alias("smallest"),
-        F.max("hi").alias("largest"),
-    )
+    totals = _totals(hist)
     out = totals.withColumnRenamed("k", key)
     if not quantiles:
         return out
 
     name = {q: f"q{q * 100:.10g}".replace(".", "_") for q in quantiles}
-    qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
-    wanted = totals.filter("n_values > 0").select("k", "n_values", qs)
-    wanted = wanted.select("k", "q", F.greatest(F.ceil(F.col("q") * F.col("n_values")), F.lit(1)).cast("bigint").alias("rank"))
+    ranks = {name[q]: F.greatest(F.ceil(F.lit(float(q)) * F.col("n_values")), F.lit(1)) for q in quantiles}
+    values = _select(df, key, value, hist, totals, ranks, max_rounds)
+    joined = out.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.select(*out.columns, *ranks)
+
+
+def _select(df: DataFrame, key: str, value: str, hist: DataFrame, totals: DataFrame, ranks: dict[str, Column], max_rounds: int = 64) -> DataFrame:
+    """(_k, one column per name): the value at each rank, counted from 1, of every key. Ranks are expressions of n_values."""
+    qs = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), r.cast("bigint").alias("rank")) for q, r in ranks.items()])).alias("w")
+    wanted = totals.filter("n_values > 0").select("k", qs).select("k", "w.q", "w.rank")
+    qs = F.explode(F.array(*[F.lit(q) for q in ranks])).alias("q")
     state = durable(_locate(hist.filter("b is not null").select("*", qs), wanted))
     found = [state.filter("lo = hi")]
     open_ = state.filter("lo < hi")
@@ -104,9 +116,7 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...
         state = durable(_locate(_summed(near.withColumn("b", b), "k", "q", "b"), open_))
         found.append(state.filter("lo = hi"))
         open_ = state.filter("lo < hi")
-    values = reduce(DataFrame.unionByName, found).groupBy(F.col("k").alias("_k")).agg(*[F.max(F.when(F.col("q") == float(q), F.col("lo"))).alias(name[q]) for q in quantiles])
-    joined = out.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
-    return joined.select(*out.columns, *name.values())
+    return reduce(DataFrame.unionByName, found).groupBy(F.col("k").alias("_k")).agg(*[F.max(F.when(F.col("q") == q, F.col("lo"))).alias(q) for q in ranks])
 
 
 def total_before(rows: DataFrame, keys: list[str], order: list[Column], weight: Column | None = None, name: str = "before") -> DataFrame:
@@ -125,8 +135,9 @@ def total_before(rows: DataFrame, keys: list[str], order: list[Column], weight:
 
 
 def exact_medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """(keys..., name): the median per key, the mean of the middle two for an even count, by key_profile."""
-    upper = 0.5 + 1e-9  # the first rank above the middle for any count below 5e8
-    both = key_profile(rows.select(F.struct(*keys).alias("_key"), value), "_key", value, (0.5, upper))
-    middle = [c for c in both.columns if c.startswith("q50")]
-    return both.select("_key.*", ((F.col(middle[0]) + F.col(middle[1])) / 2.0).alias(name))
+    """(keys..., name): the median per key, the mean of the middle two for an even count, selected by rank."""
+    packed = rows.select(F.struct(*keys).alias("_key"), value)
+    hist = durable(key_histogram(packed, "_key", value))
+    n = F.col("n_values")
+    both = _select(packed, "_key", value, hist, _totals(hist), {"lower": F.floor((n + 1) / 2), "upper": F.floor(n / 2) + 1})
+    return both.select("_k.*", ((F.col("lower") + F.col("upper")) / 2.0).alias(name))

@@ -81,11 +81,18 @@ def top(scored: DataFrame, k: int, page: int = 1) -> DataFrame:
 
 
 def with_documents(index: SearchIndex, hits: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """Titles (and snippets if terms are given) for the few hits of a page, fetched after the cut."""
-    rows = F.broadcast(hits).join(index.docs.select("doc_id", "title", *(["text"] if terms is not None else [])), "doc_id", "right").filter("rank is not null")
+    """Titles (and snippets if terms are given) for the hits of one page, fetched after the cut; "?" for a document that the index does not hold.
+
+    The page, a handful of rows that the caller has bounded, is worked out here, so that only those documents are asked for: stored
+    documents are sorted by id, and the condition reaches the row groups of their files.
+    """
+    page = hits.collect()
+    spark = index.docs.sparkSession
+    wanted = index.docs.filter(F.col("doc_id").isin([r.doc_id for r in page])).select("doc_id", "title", *(["text"] if terms is not None else []))
+    rows = spark.createDataFrame(page, hits.schema).join(F.broadcast(wanted), "doc_id", "left")
     out = [*hits.columns, F.coalesce("title", F.lit("?")).alias("title")]
     if terms is not None:
-        out.append(snippet(F.coalesce("text", "title"), terms).alias("snippet"))
+        out.append(snippet(F.coalesce("text", "title", F.lit("")), terms).alias("snippet"))
     return rows.select(*out)
 
 

@@ -13,8 +13,9 @@ from quillspark.operators import crawl as crawling
 from quillspark.operators import semantic, stats
 from quillspark.operators.audit import length_audit, posting_profile
 from quillspark.operators.index import SearchIndex, append_documents, build_index, dense_ids, duplicate_ids, merge_indexes
+from quillspark.operators.keyed import key_profile
 from quillspark.operators.match import boolean_search, match_relational
-from quillspark.operators.rank import batch_search, bm25, get_scorer, ranked_search, score, tfidf, top
+from quillspark.operators.rank import batch_search, bm25, get_scorer, ranked_search, score, tfidf, top, with_documents
 from quillspark.plans.query import parse
 from quillspark.session import spread, table
 from quillspark.sources.corpus import document_text, id_from_json, systematic_sample, text_from_json
@@ -166,6 +167,11 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return top(semantic.semantic_scores(_owned(spark, d, "vec_id"), _query_vector(spark, d)), 10)
 
 
+def semantic_titles(spark: SparkSession, d: str) -> DataFrame:
+    """A page of hits with titles, most of them of documents that the index does not hold."""
+    return with_documents(index_of(spark, d), top(semantic.semantic_scores(_owned(spark, d, "vec_id * 3"), _query_vector(spark, d)), 20))
+
+
 def best_chunk_by_owner(spark: SparkSession, d: str) -> DataFrame:
     return semantic.semantic_scores(_owned(spark, d, "vec_id % 100"), _query_vector(spark, d))
 
@@ -329,8 +335,14 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return posting_profile(table(spark, d, "postings"), (0.5, 0.9, 0.99))
 
 
+def p5_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of text lengths per source, of which a handful hold all rows; lengths far exceed what has a bucket of its own."""
+    rows = table(spark, d, "documents").select("source", F.length("text").alias("chars"))
+    return key_profile(rows, "source", "chars", (0.1, 0.5, 0.9, 0.999))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    audit = length_audit(table(spark, d, "postings"), table(spark, d, "doc_lengths"), table(spark, d, "docs_meta"), (0.5,))
+    audit = length_audit(table(spark, d, "postings"), table(spark, d, "doc_lengths"), table(spark, d, "docs_meta"), ())
     return audit.filter("surplus <> 0").select("doc_id")
 
 
@@ -380,6 +392,7 @@ QUERIES: dict[str, Query] = {
     "chunk_encoding": chunk_encoding,
     "l2_normalize": l2_normalize,
     "semantic_topk": semantic_topk,
+    "semantic_titles": semantic_titles,
     "best_chunk_by_owner": best_chunk_by_owner,
     "embedded_owners": embedded_owners,
     "rrf_fuse": rrf_fuse,
@@ -406,4 +419,5 @@ QUERIES: dict[str, Query] = {
     "crawl_log_lines": crawl_log_lines,
     "p5_found": p5_found,
     "p5_profile": p5_profile,
+    "p5_lengths": p5_lengths,
 }

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,13 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+def cluster_session(name: str = "quillspark") -> SparkSession:
+    """The session that runs already or that spark-submit has configured; a local one only where no master is named."""
+    if SparkSession.getActiveSession() is None and not SparkConf().contains("spark.master"):
+        return local_session(name=name)
+    return SparkSession.builder.appName(name).getOrCreate()
+
+
 def local_session(cpus: int | str = "*", name: str = "quillspark", **conf: str) -> SparkSession:
     b = SparkSession.builder.master(f"local[{cpus}]").appName(name)
     base = {
@@ -104,3 +112,16 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint where the side is proven small; otherwise the plain side, for a shuffled join."""
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
+
+
+#: Parts that the rows of one key are spread over where a side is too large to be broadcast.
+SALTS = 64
+
+
+def join_spread(big: DataFrame, small: DataFrame, keys: list[str], row_bytes: int, by: str, how: str = "inner") -> DataFrame:
+    """big joined with at most one row of `small` per key, however many rows of big a key has: by broadcast if small is proven small, else
+    with the rows of a key spread by a hash of column `by` and the rows of small sent to every part. Keys must not be null to match."""
+    if small_enough(small, row_bytes):
+        return big.join(F.broadcast(small), keys, how)
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, [*keys, "_salt"], how).drop("_salt")

@@ -138,6 +138,9 @@ SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%
 SELECT doc_id, i::INTEGER AS chunk_no, array_to_string(tk[i * 224 + 1 : i * 224 + 256], ' ') AS text FROM w""",
     "l2_normalize": """SELECT vec_id, 1.0::DOUBLE AS length, round((embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::DOUBLE, 5) AS first FROM embeddings""",
     "semantic_topk": f"""WITH {_NEAR} SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM near QUALIFY rank <= 10""",
+    "semantic_titles": f"""WITH {INDEX}, {_QUERY_VECTOR}, hit AS (SELECT vec_id * 3 AS doc_id, round(max(list_dot_product(embedding::DOUBLE[], qv)), 6) AS score FROM embeddings, q GROUP BY 1),
+r AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM hit QUALIFY rank <= 20)
+SELECT rank, doc_id, score, coalesce(title, '?') AS title FROM r LEFT JOIN t USING (doc_id)""",
     "best_chunk_by_owner": f"""WITH {_QUERY_VECTOR} SELECT vec_id % 100 AS doc_id, round(max(list_dot_product(embedding::DOUBLE[], qv)), 6) AS score FROM embeddings, q GROUP BY 1""",
     "embedded_owners": "SELECT count(DISTINCT doc_id) AS n FROM chunks WHERE embedding IS NOT NULL",
     "rrf_fuse": """WITH b AS (SELECT query_id, lower(mode) AS mode, doc_id, max(score) AS score FROM search_hits WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
@@ -183,6 +186,9 @@ sums AS (SELECT doc_id, sum(tf) AS total FROM latest GROUP BY doc_id)
 SELECT m.doc_id FROM (SELECT DISTINCT doc_id FROM docs_meta) m
 LEFT JOIN sums s ON s.doc_id = m.doc_id LEFT JOIN lens l ON l.doc_id = m.doc_id
 WHERE coalesce(s.total, 0) <> coalesce(l.dl, 0)""",
+    "p5_lengths": """SELECT source, count(*) AS n_rows, count(text) AS n_values, coalesce(sum(length(text)), 0)::BIGINT AS total, min(length(text)) AS smallest, max(length(text)) AS largest,
+  quantile_disc(length(text), 0.1) AS q10, quantile_disc(length(text), 0.5) AS q50, quantile_disc(length(text), 0.9) AS q90, quantile_disc(length(text), 0.999) AS q99_9
+FROM documents GROUP BY source""",
     "p5_profile": f"""WITH {_LATEST}
 SELECT doc_id, count(*) AS n_rows, count(tf) AS n_values, coalesce(sum(tf), 0)::BIGINT AS total,
   min(tf)::BIGINT AS smallest, max(tf)::BIGINT AS largest, quantile_disc(tf, 0.5)::BIGINT AS q50,

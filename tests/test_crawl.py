@@ -42,7 +42,7 @@ def test_is_html(spark):
 
 
 def test_retries(spark):
-    cases = [(0, None, 0.0, 0.5), (2, None, 0.25, 2.25), (10, None, 0.0, 8.0), (0, "3", 0.0, 3.0), (0, "-1", 0.0, 0.5), (0, "Wed, 21 Oct 2015 07:28:05 GMT", 0.0, 5.0), (0, "soon", 0.0, 0.5)]
+    cases = [(1, None, 0.0, 1.0), (3, None, 0.125, 4.125), (7, None, 0.5, 8.5), (1, "12", 0.0, 12.0), (4, "6", 0.0, 8.0), (1, "-9", 0.0, 1.0), (0, "Wed, 21 Oct 2015 07:28:41 GMT", 0.0, 41.0), (1, "later", 0.0, 1.0)]
     df = spark.createDataFrame(cases, "n int, h string, j double, want double")
     wait = http.retry_after(F.col("h"), F.to_timestamp(F.lit("2015-10-21 07:28:00")))
     for r in df.withColumn("got", http.backoff_seconds(F.col("n"), wait, jitter=F.col("j"))).collect():
@@ -64,17 +64,23 @@ def test_robots_and_site(spark):
     assert got == {"http://a.com/x": "allowed", "http://a.com/secret": "disallowed", "http://b.com/y": "allowed", "http://c.com/z": "unavailable", "http://d.com/": "unavailable"}
 
     links = {
-        "http://a.com/a": ["/a#frag", "/a/", "/b?b=1&a=2", "/c", "/secret", "http://other.com/", "/d"],
-        "http://a.com/b?a=2&b=1": ["/a"],
-        "http://a.com/c": [],
-        "http://a.com/d": [],
-        "http://a.com/secret": [],
+        "http://b.com/quay": ["/boats?wind=w&tide=low", "/quay#top", "/pier/../quay/", "/lamp", "http://elsewhere.com/", "/rope"],
+        "http://b.com/boats?tide=low&wind=w": ["/sail", "/quay"],
+        "http://b.com/lamp": ["/oil"],
+        "http://b.com/rope": [],
+        "http://b.com/sail": [],
+        "http://b.com/oil": [],
     }
     site = spark.createDataFrame([(u, 200, "text/html", None, "<title>t</title>x" + "".join(f"<a href='{x}'>l</a>" for x in ls)) for u, ls in links.items()], "url string, status int, content_type string, final_url string, body string")
-    pages = crawl(spark, ["http://A.com/a#x"], lambda frontier: site.join(frontier, "url", "left_semi"), robots, max_pages=4)
-    assert {r.url for r in pages.collect()} == {"http://a.com/a", "http://a.com/b?a=2&b=1", "http://a.com/c"}
+    fetch = lambda frontier: site.join(frontier, "url", "left_semi")
+    pages = crawl(spark, ["http://B.com/quay/#x"], fetch, robots, max_pages=5)
+    assert {r.url for r in pages.collect()} == {"http://b.com/quay", "http://b.com/boats?tide=low&wind=w", "http://b.com/lamp", "http://b.com/rope", "http://b.com/sail"}
+    closed = robots.filter("origin <> 'http://b.com'").unionByName(spark.createDataFrame([("http://b.com", 200, "User-agent: *\nDisallow: /lamp")], "origin string, status int, body string"))
+    pages = crawl(spark, ["http://b.com/quay"], fetch, closed, max_pages=3)  # a denied page has used up its place
+    assert {r.url for r in pages.collect()} == {"http://b.com/quay", "http://b.com/boats?tide=low&wind=w"}
     assert crawl(spark, ["ftp://x"], lambda f: site.limit(0), robots).count() == 0
 
+
 def test_paced_fetch(spark):
     answers = {"http://a.com/ok": [200], "http://a.com/busy": [429, 503, 200], "http://b.com/gone": [404], "http://b.com/down": [500, 500, 500], "http://c.com/slow": ["timeout"] * 3, "http://c.com/odd": ["odd"]}
 

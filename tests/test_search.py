@@ -6,10 +6,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quillspark.engine import Engine, page_window
+from quillspark.engine import Engine
 from quillspark.operators.index import append_documents, build_index, dense_ids, duplicate_ids, load_index, merge_indexes, save_index
 from quillspark.operators.match import boolean_search, match, match_relational
-from quillspark.operators.rank import batch_search, bm25, get_scorer, ranked_search, tfidf
+from quillspark.operators.rank import batch_search, bm25, get_scorer, ranked_search, tfidf, with_documents
 from quillspark.sources.store import load, save
 
 TINY = ("red cat sat", "blue cat ran", "red dog sat")
@@ -174,4 +174,11 @@ def test_engine(spark, corpus):
     for bad in ({"q": ""}, {"q": "a", "k": 101}, {"q": "a", "page": 0}, {"q": "a", "mode": "x"}, {"q": "a" * 201}):
         with pytest.raises(ValueError):
             engine.search(**bad)
-    assert page_window(5, 12) == [1, None, 4, 5, 6, None, 12] and page_window(2, 4) == [1, 2, 3, 4]
+
+
+def test_hits_without_a_document(spark, corpus):
+    index = build_index(corpus("red heron", "blue heron"))
+    hits = spark.createDataFrame([(1, 1, 0.5), (2, 77, 0.25)], "rank int, doc_id bigint, score double")
+    got = {r.doc_id: (r.rank, r.title, r.snippet) for r in with_documents(index, hits, ["heron"]).collect()}
+    assert got == {1: (1, "blue heron", "blue **heron**"), 77: (2, "?", "")}
+    assert with_documents(index, hits.limit(0)).count() == 0
