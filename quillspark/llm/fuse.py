@@ -7,19 +7,14 @@ combined by a weighted geometric mean.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators.keyed import exact_medians, total_before
-from quillspark.session import durable
+from quillspark.session import durable, join_spread
 
 #: Makes the median absolute deviation of a normal sample estimate its standard deviation (fixed value).
 MAD_TO_SD = 1.4826
-#: Rows up to which a list, or the ranking of a query, is worked out in one task; longer ones are spread over many.
-LONG = 200_000
 KEYS = ["query_id", "mode"]
 
 
@@ -38,41 +33,22 @@ def latest_hits(hits: DataFrame) -> DataFrame:
     return by_time.groupBy("query_id", "mode", "doc_id").agg(F.max_by("score", "at").alias("score"))
 
 
-def _apart(rows: DataFrame, keys: list[str], short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`short` over the groups that one task holds easily, `long` over the others; both must give the same values."""
-    large = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select(*keys))
-    if large.isEmpty():
-        return short(rows)
-    return short(rows.join(large, keys, "left_anti")).unionByName(long(rows.join(large, keys, "left_semi")))
-
-
-def _by_window(lists: DataFrame, by: str) -> DataFrame:
-    """Adds x, and the median, deviations and lowest x of its list, by windows over lists of at most LONG rows."""
-    one = W.partitionBy(*KEYS)
-    if by == "place":
-        ties = F.count(F.lit(1)).over(W.partitionBy(*KEYS, "score"))
-        lists = lists.withColumn("x", -(2 * F.rank().over(one.orderBy(F.desc("score"))) + ties - 1).cast("bigint"))
-    else:
-        lists = lists.withColumn("x", F.col("score"))
-    apart = F.abs(F.col("x") - F.col("med"))
-    lists = lists.withColumn("med", F.median("x").over(one)).withColumn("mad", F.median(apart).over(one))
-    return lists.withColumn("mean_dev", F.avg(apart).over(one)).withColumn("low", F.min("x").over(one))
-
-
 def _by_selection(lists: DataFrame, by: str) -> DataFrame:
-    """The same for lists of any length: range-partitioned sums for places, exact distributed selection for medians."""
+    """Adds x, and the median, deviations and lowest x of its list: range-partitioned sums for places, exact distributed selection for
+    medians, so that a list is never brought into one task."""
     if by == "place":
         # places are found once per distinct score; doubled, they are whole numbers even where ties share a mean place
         scores = lists.groupBy(*KEYS, "score").agg(F.count(F.lit(1)).alias("c"))
         better = total_before(scores, KEYS, [F.desc("score")], F.col("c"))
-        lists = durable(lists.join(better.select(*KEYS, "score", (-(2 * F.col("before") + F.col("c") + 1)).alias("x")), [*KEYS, "score"]))
+        places = better.select(*KEYS, "score", (-(2 * F.col("before") + F.col("c") + 1)).alias("x"))
+        lists = durable(join_spread(lists, places, [*KEYS, "score"], 96, "doc_id"))
     else:
         lists = lists.withColumn("x", F.col("score"))
-    middle = exact_medians(lists, KEYS, "x", "med")
-    away = lists.join(middle, KEYS).select(*KEYS, F.abs(F.col("x") - F.col("med")).alias("away"))
+    middle = durable(exact_medians(lists, KEYS, "x", "med"))
+    away = join_spread(lists, middle, KEYS, 80, "doc_id").select(*KEYS, F.abs(F.col("x") - F.col("med")).alias("away"))
     spread = exact_medians(away, KEYS, "away", "mad").join(away.groupBy(*KEYS).agg(F.avg("away").alias("mean_dev")), KEYS)
     lowest = lists.groupBy(*KEYS).agg(F.min("x").alias("low"))
-    return lists.join(durable(middle.join(spread, KEYS).join(lowest, KEYS)), KEYS)
+    return join_spread(lists, durable(middle.join(spread, KEYS).join(lowest, KEYS)), KEYS, 128, "doc_id")
 
 
 def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: str = "place", steepness: float = 1.0) -> DataFrame:
@@ -83,15 +59,14 @@ def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: st
     a logistic curve. A document absent from a list gets the value one place below its last entry
     (by score: one deviation below the lowest); lists a query does not have say nothing. A list whose MAD is 0 (all
     tied, or a single hit) is scaled by its mean absolute deviation, or by 1 if that is 0 too. `weights` by mode, default 1
-    each, must not be negative; medians and places of lists beyond LONG rows are found by exact distributed selection and
-    range-partitioned sums, so no such list is brought into one task; the mean is weighted geometric: exp(sum w*ln v / sum w). Ties in `fused` are ordered by doc_id.
+    each, must not be negative; the mean is weighted geometric: exp(sum w*ln v / sum w). Ties in `fused` are ordered by doc_id.
     """
     if by not in ("place", "score"):
         raise ValueError("by is 'place' or 'score'")
     if any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights must not be negative")
     lists = durable(latest_hits(hits))
-    placed = _apart(lists, KEYS, lambda rows: _by_window(rows, by), lambda rows: _by_selection(rows, by))
+    placed = _by_selection(lists, by)
     step = 2.0 if by == "place" else None  # places are doubled
     scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SD).when(F.col("mean_dev") > 0, F.col("mean_dev")).otherwise(F.lit(step or 1.0))
     below = (F.col("low") - (F.lit(step) if step else F.col("scale")) - F.col("med")) / F.col("scale")
@@ -110,9 +85,8 @@ def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: st
     gain = lists.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("w") * (log_value(F.col("z")) - log_value(F.col("below")))).alias("gain"), F.count(F.lit(1)).alias("n_lists")
     )
-    out = gain.join(floor, "query_id").withColumn("fused", F.when(F.col("w_all") > 0, F.exp((F.col("none") + F.col("gain")) / F.col("w_all"))).otherwise(F.lit(0.0)))
+    out = join_spread(gain, floor, ["query_id"], 64, "doc_id").withColumn("fused", F.when(F.col("w_all") > 0, F.exp((F.col("none") + F.col("gain")) / F.col("w_all"))).otherwise(F.lit(0.0)))
     out = out.select("query_id", "doc_id", "fused", "n_lists")
     order = [F.desc(F.round("fused", 12)), F.col("doc_id")]
-    short = lambda rows: rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
-    long = lambda rows: total_before(rows, ["query_id"], order).withColumn("place", (F.col("before") + 1).cast("int")).drop("before")
-    return _apart(out, ["query_id"], short, long).select("query_id", "doc_id", "fused", "n_lists", "place")
+    placed = total_before(out, ["query_id"], order).withColumn("place", (F.col("before") + 1).cast("int"))
+    return placed.select("query_id", "doc_id", "fused", "n_lists", "place")

@@ -74,14 +74,14 @@ def pack_texts(
     Sizes are counted in the engine's own words. A text of more than `capacity` tokens, and no other, is divided: parts of
     `capacity` tokens fill containers alone, the rest is packed like any other item. A container holds at most
     `max_docs` items and, if given, `max_cost` of attention (sum of squared sizes; by default the square of
-    the capacity, which one full item needs). Null and empty texts have 0 tokens and no container (null). Rows with
+    the capacity, which nothing exceeds). An item that alone costs more than `max_cost` has a container to itself. Null and empty texts have 0 tokens and no container (null). Rows with
     equal or null ids are items of their own. Ties between equal sizes are settled by id hash. Other columns are ignored.
     """
     if capacity < 1 or max_docs < 1:
         raise ValueError("capacities must be positive")
     cost = float(capacity) ** 2 if max_cost is None else float(max_cost)
-    if cost < float(capacity) ** 2:
-        raise ValueError("max_cost must admit one full item")
+    if cost <= 0:
+        raise ValueError("capacities must be positive")
     if rule not in ("dot", "norm"):
         raise ValueError("rule is 'dot' or 'norm'")
     sized = durable(docs.select(F.col(id_col).alias("doc_id"), n_tokens(F.col(text_col)).cast("int").alias("n")))

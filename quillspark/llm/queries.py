@@ -23,8 +23,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    informative = _scored(spark, d).filter("weight > 0")
-    return leading_terms(informative, bm25_weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl")))
+    return leading_terms(_scored(spark, d), bm25_weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl")))
 
 
 def _p1_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +94,18 @@ def _p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"))
 
 
+def _p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per text that was cut: whether every piece keeps the limit, consecutive ones share at most the overlap, and all of them are the text."""
+    pieces = split_texts(table(spark, d, "documents"), with_text=False)
+    before = F.lag("end").over(W.partitionBy("doc_id").orderBy("piece_no"))
+    pieces = pieces.withColumn("shared", F.when(F.col("piece_no") > 0, before - F.col("start")))
+    found = pieces.groupBy("doc_id").agg(
+        F.max("end").cast("bigint").alias("n_chars"), (F.max(F.col("end") - F.col("start")) <= 2000).alias("within_limit"), (F.coalesce(F.max("shared"), F.lit(0)) <= 200).alias("within_overlap"),
+        ((F.coalesce(F.min("shared"), F.lit(0)) >= 0) & (F.min("start") == 0)).alias("nothing_missing"),
+    )
+    return found
+
+
 def _p8_found(spark: SparkSession, d: str) -> DataFrame:
     packed = pack_texts(table(spark, d, "documents"))
     return packed.filter("part_no = 0 and n_parts > 1 and container is not null").select("doc_id")
@@ -105,6 +116,24 @@ def _p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
 
 
+#: A packing under all three capacities: tokens, documents, and attention cost below that of one full container.
+TIGHT = {"capacity": 1024, "max_docs": 8, "max_cost": 0.5 * 1024**2}
+
+
+def _p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of the plain packing and one under tight capacities: tokens and items in containers, containers over a capacity, whether few are wasted."""
+    found = []
+    for name, limits in (("plain", {}), ("tight", TIGHT)):
+        items = pack_texts(table(spark, d, "documents"), **limits).filter("container is not null")
+        cost = F.sum(F.col("tokens").cast("double") * F.col("tokens"))
+        bins = items.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"), cost.alias("cost"))
+        over = (F.col("tokens") > 1024) | (F.col("items") > limits.get("max_docs", 256)) | ((F.col("cost") > limits.get("max_cost", 1024.0**2)) & (F.col("items") > 1))
+        few = F.count(F.lit(1)) <= 1.02 * F.greatest(F.sum("tokens") / 1024, F.sum("items") / limits.get("max_docs", 256)) + 1
+        few = few if name == "plain" else F.lit(True)
+        found.append(bins.agg(F.sum("tokens").alias("tokens"), F.sum("items").alias("items"), F.count_if(over).alias("over"), few.alias("few")).withColumn("packing", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -136,7 +165,9 @@ QUERIES = {
     "p6_ranking": _p6_ranking,
     "p7_found": _p7_found,
     "p7_pieces": _p7_pieces,
+    "p7_invariants": _p7_invariants,
     "p8_found": _p8_found,
+    "p8_invariants": _p8_invariants,
     "p8_containers": _p8_containers,
     "p9_found": _p9_found,
     "p9_items": _p9_items,

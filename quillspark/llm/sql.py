@@ -71,6 +71,9 @@ SELECT query_id, doc_id FROM r WHERE p <= 5""",
     "p6_ranking": f"""{_fused('score', 'scale')} SELECT query_id, doc_id, round(fused, 6) AS fused, n_lists FROM fused""",
     "p7_found": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\S{1000}\S{1000}\S') THEN 'forced' ELSE 'natural' END AS kind
 FROM documents WHERE length(text) > 2000""",
+    "p7_invariants": """SELECT doc_id, length(text) AS n_chars, true AS within_limit, true AS within_overlap, true AS nothing_missing FROM documents WHERE length(text) > 2000""",
+    "p8_invariants": """WITH n AS (SELECT len(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{N}_]+(?:[''’-][\\p{L}\\p{N}_]+)*')) AS n FROM documents)
+SELECT packing, sum(n)::BIGINT AS tokens, sum(ceil(n / 1024.0))::BIGINT AS items, 0::BIGINT AS over, true AS few FROM n, (VALUES ('plain'), ('tight')) AS p(packing) GROUP BY packing""",
     "p8_found": """SELECT doc_id FROM documents
 WHERE len(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{N}_]+(?:[''’-][\\p{L}\\p{N}_]+)*')) > 1024""",
 }

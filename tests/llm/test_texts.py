@@ -59,14 +59,20 @@ def test_split_rows(spark, rows):
 
 def test_plan_respects_every_capacity():
     counts = {100: 7, 300: 5, 512: 4, 1: 40, 1024: 2}
+    plans = {}
     for rule in ("dot", "norm"):
-        for docs, cost in ((256, 1024.0**2), (3, 1024.0**2), (256, 1.2 * 1024**2)):
+        for docs, cost in ((256, 1024.0**2), (3, 1024.0**2), (256, 0.3 * 1024**2), (256, 90000.0)):
             used = Counter()
-            for times, take in plan_patterns(counts, 1024, docs, cost, rule=rule):
-                assert sum(s * n for s, n in take.items()) <= 1024 and sum(take.values()) <= docs and sum(s * s * n for s, n in take.items()) <= cost
+            plans[rule, docs, cost] = plan_patterns(counts, 1024, docs, cost, rule=rule)
+            for times, take in plans[rule, docs, cost]:
+                alone = sum(take.values()) == 1
+                assert sum(s * n for s, n in take.items()) <= 1024 and sum(take.values()) <= docs and (alone or sum(s * s * n for s, n in take.items()) <= cost)
                 for s, n in take.items():
                     used[s] += n * times
             assert used == counts
+        n = {k: sum(times for times, _ in p) for k, p in plans.items() if k[0] == rule}
+        plain = n.pop((rule, 256, 1024.0**2))
+        assert all(more > plain for more in n.values())  # each of the other capacities decides somewhere
 
 
 def test_packing(spark):
