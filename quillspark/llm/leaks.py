@@ -1,9 +1,9 @@
 """Evaluation passages inside training texts: rare word n-gram seeds, then Smith-Waterman alignment.
 
-The held-out side is small and is held in blocks of bounded size; every training text is read against it
-once per block, where it lies, so nothing about the corpus moves. A passage that a text holds within the
-allowed edits shares runs of unchanged words with it; the seeds are those runs' n-grams. Places with enough
-seeds are aligned word by word, and the alignment itself decides.
+Passages are cut into overlapping stretches, and each stretch into seeds, hashes of consecutive words. The corpus is read
+once: a bitmap of fixed size tells which of a text's n-grams may be seeds, and only the surroundings of such places
+leave it. A join on the seeds pairs places with stretches. Pairs that share a rare seed are aligned word by
+word; those that share only seeds common to many items must first hold enough words of the stretch. The alignment decides.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import SALTS, broadcast_if_small, small_enough, written
+
 #: Accents, and apostrophes and quote marks that may stand inside a word.
 _DROPPED = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯'’‘ʼ`´′­​]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -26,8 +30,14 @@ STRETCH, OVERLAP = 128, 48
 #: Words per seed. A window of at least 18 words with one edit in ten at most has three such unchanged n-grams (20 words with
 #: 2 edits leave 18 words in 3 runs; longer windows leave more), so places with fewer are never aligned.
 SEED, MIN_SEEDS = 6, 3
-#: Passages per block; a block with its seeds stays in the tens of MB.
-BLOCK = 20_000
+#: Seeds in more items than this are common.
+RARE = 20
+#: Words kept on either side of a text's seeds: what an alignment of a stretch can reach.
+REACH = STRETCH + STRETCH // 5 + 2
+#: Bits of the seed bitmap, which is all that is broadcast for the scan (8 MB). More seeds than bits only make it let more places through.
+BITS = 1 << 26
+#: Words whose hashes a task remembers.
+_REMEMBERED = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,62 +55,109 @@ def passage(text: str) -> str:
     return rest if cut and rest.strip() else text
 
 
-def _ngrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of all n-grams that hold known words only."""
-    m = len(ids) - SEED + 1
-    if m < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    unknown = np.concatenate(([0], np.cumsum(ids < 0)))
-    at = np.flatnonzero(unknown[SEED:] == unknown[:-SEED])
-    h = np.zeros(len(at), np.uint64)
+class _Numbers(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[word] = number = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return number
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter((self[w] for w in words), np.uint64, len(words))
+
+
+def seeds_of(numbers: np.ndarray) -> np.ndarray:
+    """Hashes of all n-grams; the place of each is its index."""
+    m = max(0, len(numbers) - SEED + 1)
+    h = np.zeros(m, np.uint64)
     for k in range(SEED):
-        h = (h ^ (ids[at + k].astype(np.uint64) + np.uint64(1))) * _MULT
+        h = (h ^ numbers[k : k + m]) * _MULT
         h ^= h >> np.uint64(29)
-    return h, at
-
-
-class SeedIndex:
-    """The passages of one block: vocabulary, stretches of word numbers, and where each seed occurs."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.item: list[int] = []
-        self.words: list[np.ndarray] = []
-        number = self.vocabulary.setdefault
-        for item_id, text in items:
-            ids = np.array([number(w, len(self.vocabulary)) for w in plain_words(passage(text))], np.int32)
-            for start in range(0, max(1, len(ids) - OVERLAP), STRETCH - OVERLAP):
-                self.item.append(item_id)
-                self.words.append(ids[start : start + STRETCH])
-        grams = [_ngrams(w) for w in self.words]
-        hashes = np.concatenate([h for h, _ in grams]) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(h) for h, _ in grams])
-        places = np.concatenate([p for _, p in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner, self.places = hashes[order], owner[order], places[order]
-
-    def number(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretch, place in it, place in ids) of every seed occurrence; rarer seeds simply yield fewer rows."""
-        h, at = _ngrams(ids)
-        lo = np.searchsorted(self.hashes, h, "left")
-        if not len(self.hashes):
-            return (np.zeros(0, np.int64),) * 3
-        held = self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h
-        lo, h, at = lo[held], h[held], at[held]
-        n = np.searchsorted(self.hashes, h, "right") - lo
-        rows = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return self.owner[rows], self.places[rows], np.repeat(at, n)
+    return h
+
+
+def _longs(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def _stretches(items: DataFrame) -> DataFrame:
+    """(item_id, stretch, words, seeds) of every item."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
+        for batch in batches:
+            ids, nos, words, seeds = [], [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                all_ = numbers.of(plain_words(passage(text)))
+                for start in range(0, max(1, len(all_) - OVERLAP), STRETCH - OVERLAP):
+                    part = all_[start : start + STRETCH]
+                    ids.append(item)
+                    nos.append(start)
+                    words.append(part)
+                    seeds.append(seeds_of(part))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), _longs(words), _longs(seeds)], ["item_id", "stretch", "words", "seeds"])
+
+    held = items.select(F.col("item_id").cast("bigint"), "text").filter(F.col("item_id").isNotNull() & (F.length("text") > 0))
+    return held.mapInArrow(cut, "item_id bigint, stretch int, words array<bigint>, seeds array<bigint>")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which seeds there may be: bit (seed mod BITS) of BITS/64 words, merged by OR before anything leaves the tasks."""
+    at = F.col("seed").bitwiseAND(BITS - 1)
+    words = seeds.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
+    return out
+
+
+def _places(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(row, seg, doc_id, words, seeds, at): the surroundings of every run of possible seeds; row numbers the texts, seg the runs."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, numbers = shared.value, _Numbers()
+        row = seg = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                found: list[list] = [[], [], [], [], [], []]
+                texts = [plain_words(t) for t in batch.column(1).to_pylist()]
+                sizes = np.array([len(w) for w in texts])
+                ids = numbers.of([w for words in texts for w in words])
+                h = seeds_of(ids)
+                hit = np.flatnonzero((bits[(h & np.uint64(BITS - 1)) >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1))
+                end = np.cumsum(sizes)
+                owner = np.searchsorted(end, hit, "right")
+                inside = hit + SEED <= end[owner]  # no seed spans two texts
+                hit, owner = hit[inside], owner[inside]
+                cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(hit) > STRETCH)) + 1
+                for run, own in zip(np.split(hit, cuts), np.split(owner, cuts), strict=True):
+                    if len(run) < MIN_SEEDS:
+                        continue
+                    t = int(own[0])
+                    lo, hi = max(int(end[t] - sizes[t]), int(run[0]) - REACH), min(int(end[t]), int(run[-1]) + REACH)
+                    for into, value in zip(found, (row + t, seg, t, ids[lo:hi], h[run], (run - lo).astype(np.uint64)), strict=True):
+                        into.append(value)
+                    seg += 1
+                row += batch.num_rows
+                if found[0]:
+                    columns = [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), batch.column(0).take(pa.array(found[2])), *map(_longs, found[3:])]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "seg", "doc_id", "words", "seeds", "at"])
+
+    return docs.mapInArrow(scan, f"row bigint, seg bigint, doc_id {id_type}, words array<bigint>, seeds array<bigint>, at array<bigint>")
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Smith-Waterman over rows of word numbers (match 3, change, drop or addition -1), all pairs at once.
 
-    A match outweighs two edits, so that edits near the ends of a copy stay on the path. a is (pairs, n) padded with
-    -2, b is (pairs, m) padded with -1. Per pair: the unchanged words of the best path and, from its end, how
+    A match outweighs two edits, so that edits near the ends of a copy stay on the path. a is (pairs, n) and b (pairs, m),
+    padded with numbers that are no word's. Per pair: the unchanged words of the best path and, from its end, how
     many passage words and how many edits each step takes.
     """
     pairs, n = a.shape
@@ -150,65 +207,70 @@ def holds(taken: np.ndarray, edits: np.ndarray, min_words: int, one_in: int) ->
     return bool(np.any(p[1:][ok] >= np.minimum.accumulate(opens)[start[ok]]))
 
 
-def _scan(index: SeedIndex, texts: list[str | None], min_words: int, one_in: int) -> list[tuple[int, int, int]]:
-    """(row, item, score) of the batch, each pair once."""
-    words = [plain_words(t) if t else [] for t in texts]
-    sizes = np.array([len(w) for w in words])
-    # one array for the batch; a text is followed by an unknown word, so no seed spans two texts
-    ids = np.full(int(sizes.sum()) + len(words), -1, np.int32)
-    first = np.cumsum(sizes + 1) - sizes - 1
-    for w, at in zip(words, first.tolist(), strict=True):
-        ids[at : at + len(w)] = index.number(w)
-    del words
-    owner, place, at = index.hits(ids)
-    if not len(owner):
-        return []
-    row = np.searchsorted(first, at, "right") - 1
-    order = np.lexsort((at, owner, row))
-    owner, place, at, row = owner[order], place[order], at[order], row[order]
-    diagonal = at - place
-    best: dict[tuple[int, int], int] = {}
-    # unbroken copies: seeds that follow each other on one diagonal
-    by = np.lexsort((at, diagonal, owner, row))
-    o, d, r, x = owner[by], diagonal[by], row[by], at[by]
-    breaks = np.flatnonzero((np.diff(o) != 0) | (np.diff(d) != 0) | (np.diff(r) != 0) | (np.diff(x) != 1)) + 1
-    starts = np.concatenate(([0], breaks))
-    length = np.diff(np.concatenate((starts, [len(o)]))) + SEED - 1
-    for s, n in zip(starts[length >= min_words].tolist(), length[length >= min_words].tolist(), strict=True):
-        key = (int(r[s]), index.item[o[s]])
-        best[key] = max(best.get(key, 0), n)
-    # the rest: places with enough seeds of one passage close together
-    gap = np.flatnonzero((np.diff(owner) != 0) | (np.diff(row) != 0) | (np.diff(at) > STRETCH)) + 1
-    starts = np.concatenate(([0], gap))
-    counts = np.diff(np.concatenate((starts, [len(owner)])))
+def may_hold(stretches: np.ndarray, words: np.ndarray, min_words: int, one_in: int) -> np.ndarray:
+    """Which rows of stretches have a window that `words` could hold, by the words alone: every unchanged word must be among them."""
+    known = np.isin(stretches, words)
+    p = np.concatenate((np.zeros((len(known), 1), np.int32), np.cumsum(np.where(known, 1, 1 - one_in), axis=1)), axis=1)
+    if p.shape[1] <= min_words:
+        return np.zeros(len(known), bool)
+    return (p[:, min_words:] >= np.minimum.accumulate(p, axis=1)[:, :-min_words]).any(axis=1)
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, shift: int) -> int:
+    """The most consecutive words that a has in common with b where a[i] stands against b[i + shift]."""
+    lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+    differ = np.flatnonzero(a[lo:hi] != b[lo + shift : hi + shift])
+    return int(np.diff(np.concatenate(([-1], differ, [hi - lo]))).max()) - 1 if hi > lo else 0
+
+
+#: Padding of stretches and of places; as good as never the hash of a word, and never each other.
+_PAD_A, _PAD_B = np.int64(-2), np.int64(-1)
+
+
+def _decide(places: pa.Table, pairs: pa.Table, min_words: int, one_in: int) -> pa.Table:
+    """(row, doc_id, item_id, score) of the pairs of one bucket that hold."""
+    number = {seg: i for i, seg in enumerate(places.column("seg").to_pylist())}
+    texts = places.column("words").combine_chunks() if places.num_rows else None
+    rows: list[tuple[int, int, int]] = []
+    by: dict[int, list[int]] = {}
+    for i, seg in enumerate(pairs.column("seg").to_pylist()):
+        by.setdefault(number[seg], []).append(i)
+    item, lo_, hi_, common = (pairs.column(c).to_pylist() for c in ("item_id", "lo", "hi", "common"))
+    stretches = pairs.column("words").combine_chunks() if pairs.num_rows else None
     tasks = []
-    for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
-        key = (int(row[s]), index.item[owner[s]])
-        if n < MIN_SEEDS or key in best:
-            continue
-        size = len(index.words[owner[s]])
-        lo0, hi0 = int(first[key[0]]), int(first[key[0]] + sizes[key[0]])
-        diagonals = diagonal[s : s + n]
-        lo, hi = int(diagonals.min()) - size // 5 - 2, int(diagonals.max()) + size + size // 5 + 2
-        lo, hi = max(lo, lo0), min(hi, hi0)
-        # a long stretch of repeated seeds is aligned in overlapping parts of bounded length
-        for part in range(lo, max(lo + 1, hi - 2 * STRETCH), 2 * STRETCH):
-            tasks.append((key, int(owner[s]), part, min(hi, part + 4 * STRETCH)))
-    tasks.sort(key=lambda t: (len(index.words[t[1]]), t[3] - t[2]))
-    group = 128
-    for k in range(0, len(tasks), group):
-        some = [t for t in tasks[k : k + group] if t[0] not in best]
-        if not some:
-            continue
-        a = np.full((len(some), max(len(index.words[t[1]]) for t in some)), -2, np.int32)
-        b = np.full((len(some), max(t[3] - t[2] for t in some)), -1, np.int32)
-        for i, (_, own, lo, hi) in enumerate(some):
-            a[i, : len(index.words[own])] = index.words[own]
-            b[i, : hi - lo] = ids[lo:hi]
-        for (key, *_), (score, taken, edits) in zip(some, align(a, b), strict=True):
+    for at, mine in by.items():
+        b = np.asarray(texts[at].values)
+        a = {i: np.asarray(stretches[i].values) for i in mine}
+        doubtful = [i for i in mine if common[i]]
+        if doubtful:
+            block = np.full((len(doubtful), max(len(a[i]) for i in doubtful)), _PAD_A)
+            for k, i in enumerate(doubtful):
+                block[k, : len(a[i])] = a[i]
+            hopeless = {i for i, ok in zip(doubtful, may_hold(block, b, min_words, one_in), strict=True) if not ok}
+            mine = [i for i in mine if i not in hopeless]
+        for i in mine:
+            run = longest_run(a[i], b, lo_[i]) if lo_[i] == hi_[i] else 0
+            if run >= min_words:  # an unbroken copy
+                rows.append((at, item[i], run))
+                continue
+            margin = len(a[i]) // 5 + 2
+            lo, hi = max(lo_[i] - margin, 0), min(hi_[i] + len(a[i]) + margin, len(b))
+            # a long stretch of repeated seeds is aligned in overlapping parts of bounded length
+            for part in range(lo, max(lo + 1, hi - 2 * STRETCH), 2 * STRETCH):
+                tasks.append((at, item[i], a[i], b[part : min(hi, part + 4 * STRETCH)]))
+    tasks.sort(key=lambda t: (len(t[2]), len(t[3])))
+    for k in range(0, len(tasks), 128):
+        some = tasks[k : k + 128]
+        a = np.full((len(some), max(len(t[2]) for t in some)), _PAD_A)
+        b = np.full((len(some), max(len(t[3]) for t in some)), _PAD_B)
+        for i, (_, _, x, y) in enumerate(some):
+            a[i, : len(x)], b[i, : len(y)] = x, y
+        for (at, own, *_), (score, taken, edits) in zip(some, align(a, b), strict=True):
             if score > 0 and holds(taken, edits, min_words, one_in):
-                best[key] = max(best.get(key, 0), score)
-    return [(r_, item, score) for (r_, item), score in sorted(best.items())]
+                rows.append((at, own, score))
+    at = pa.array([r[0] for r in rows], pa.int64())
+    found = places.select(["row", "doc_id"]).take(at)
+    return found.append_column("item_id", pa.array([r[1] for r in rows], pa.int64())).append_column("score", pa.array([r[2] for r in rows], pa.int32()))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 18, one_in: int = 10) -> DataFrame:
@@ -217,43 +279,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     of the copy.
 
     Words are compared without case, accents, punctuation, quote marks and line breaks. The first of several lines of an item is an
-    instruction and does not count. Null and empty texts and items match nothing, nor do items shorter than min_words.
+    instruction and does not count. A window begins and ends with an unchanged word. Null and empty texts and items match nothing, nor do items shorter than min_words.
     Repeated items come out under each id, repeated documents once per row. Other columns are ignored. The seeds guarantee that nothing is missed for
-    min_words >= 18 and one_in >= 10; other values are rejected.
+    min_words >= 18 and one_in >= 10; other values are rejected. Words are compared by 64-bit hashes.
     """
     if min_words < 18 or one_in < 10 or 2 * min_words > OVERLAP:
         raise ValueError("seeds are complete for 18 <= min_words <= 24 and one_in >= 10")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id bigint, score int"
-    held = items.select(F.col("item_id").cast("bigint"), F.col("text")).filter(F.col("item_id").isNotNull() & (F.length("text") > 0))
-
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(SeedIndex(block))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, 1000):
-                    part = batch.slice(start, 1000)
-                    got = _scan(index, part.column(1).to_pylist(), min_words, one_in)
-                    if got:
-                        at, item, score = zip(*got, strict=True)
-                        ids = part.column(0).take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(score, pa.int32())], ["doc_id", "item_id", "score"])
-
-        return rows.mapInArrow(scan, schema)
-
-    found, block = [], []
-    for r in held.toLocalIterator():
-        block.append((r.item_id, r.text))
-        if len(block) == BLOCK:
-            found.append(search(block))
-            block = []
-    if block or not found:
-        found.append(search(block))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    stretches = written(_stretches(items))
+    placed = stretches.select("item_id", "stretch", F.posexplode("seeds").alias("place", "seed"))
+    known = written(placed.groupBy("seed").agg(F.count_distinct("item_id").alias("items")))
+    places = written(_places(texts, _bitmap(known)))
+    # a seed that many texts and many items hold is spread over parts; what leaves a part is one row per place and stretch
+    seeds = placed.join(broadcast_if_small(known, 32), "seed")
+    hits = places.select("seg", F.explode(F.arrays_zip("seeds", "at")).alias("e")).select("seg", F.col("e.seeds").alias("seed"), "e.at")
+    if small_enough(seeds, 48):
+        hits = hits.join(F.broadcast(seeds), "seed")
+    else:
+        parts = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = hits.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int")).join(parts, ["seed", "salt"])
+    shift = F.col("at") - F.col("place")
+    pairs = hits.groupBy("seg", "item_id", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(shift).alias("lo"), F.max(shift).alias("hi"), (F.min("items") > RARE).alias("common"))
+    pairs = written(pairs.filter(F.col("n") >= MIN_SEEDS))
+    pairs = pairs.join(broadcast_if_small(stretches.select("item_id", "stretch", "words"), 1200), ["item_id", "stretch"])
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("seg"), F.lit(buckets)).alias("bucket")
+    left = places.select(bucket, "row", "seg", "doc_id", "words").groupBy("bucket")
+    right = pairs.select(bucket, "seg", "item_id", "lo", "hi", "common", "words").groupBy("bucket")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    found = left.cogroup(right).applyInArrow(lambda a, b: _decide(a, b, min_words, one_in), f"row bigint, doc_id {id_type}, item_id bigint, score int")
+    return found.groupBy("row", "doc_id", "item_id").agg(F.max("score").alias("score")).drop("row")

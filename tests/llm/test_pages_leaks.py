@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.leaks import SeedIndex, _scan, find_leaks, holds, passage, plain_words
+from quillspark.llm import leaks
+from quillspark.llm.leaks import find_leaks, holds, longest_run, may_hold, passage, plain_words
 from quillspark.llm.mainbody import NEAR, NEXT, cut_lines, main_lines
 
 
@@ -81,27 +82,59 @@ def test_leaks(spark):
     assert passage("one line") == "one line" and passage("a\nb\nc") == "b\nc" and plain_words("D’Été-co, ‘x’") == ["dete", "co", "x"]
 
 
-def test_edited_copies_are_found():
+def edited(rng, words, n):
+    """n words in a row with as many edits as are allowed, the first and last word unchanged."""
+    s = rng.randrange(0, len(words) - n + 1)
+    copy = words[s : s + n]
+    for _ in range(n // 10):
+        at, kind = rng.randrange(1, len(copy) - 1), rng.random()
+        if kind < 0.4:
+            copy[at] = "changed"
+        elif kind < 0.7:
+            copy.insert(at, "added")
+        else:
+            del copy[at]
+    return copy
+
+
+def test_edited_copies_are_found(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([40, 60, 300])))) for i in range(30)]
-    index = SeedIndex(items)
-    for _ in range(300):
+    docs, want = [], set()
+    for d in range(300):
         item, text = rng.choice(items)
-        w = text.split()
-        n = rng.randint(18, 39)
-        s = rng.randrange(0, len(w) - n + 1)
-        copy = w[s : s + n]
-        for _ in range(n // 10):
-            at, kind = rng.randrange(1, len(copy) - 1), rng.random()
-            if kind < 0.4:
-                copy[at] = "changed"
-            elif kind < 0.7:
-                copy.insert(at, "added")
-            else:
-                del copy[at]
         fill = ["f%d" % rng.randrange(1000) for _ in range(80)]
-        assert item in [i for _, i, _ in _scan(index, [" ".join(fill[:40] + copy + fill[40:])], 18, 10)]
+        docs.append((d, " ".join(fill[:40] + edited(rng, text.split(), rng.randint(18, 39)) + fill[40:])))
+        want.add((d, item))
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert want <= got and len(got) < 1.1 * len(want)
+
+
+def test_a_line_shared_by_many_items(spark, monkeypatch):
+    """Copies are found though most of what they hold is common to all items, and the line alone is no copy of any; so too without broadcasts."""
+    rng = random.Random(5)
+    line = [f"line{i}" for i in range(12)]
+    items = [(i, " ".join([f"i{i}x{k}" for k in range(20)] + line + [f"i{i}y{k}" for k in range(20)])) for i in range(200)]
+    docs, want = [], set()
+    for d in range(60):
+        i = rng.randrange(200)
+        words = items[i][1].split()
+        copy = words[15:19] + ["other"] + words[20:33] if d % 2 else line  # 18 words of the item with one changed, most of them the line
+        docs.append((d, " ".join(["a", "b", *copy, "c", "d"])))
+        if d % 2:
+            want.add((d, i))
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(*tables).collect()} == want
+    monkeypatch.setattr(leaks, "small_enough", lambda *_: False)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(*tables).collect()} == want
+
+
+def test_word_tests():
+    a = np.arange(40)
+    assert longest_run(a, np.concatenate((a[5:25], a[26:])), -5) == 20 and longest_run(a, a + 100, 0) == 0
+    rows = np.stack([a, a + 30, a + 100])
+    assert may_hold(rows, a, 18, 10).tolist() == [True, False, False] and may_hold(rows, np.delete(a, [3, 12, 22, 33]), 18, 10).tolist()[0]
 
 
 def test_window_rule():
