@@ -51,7 +51,7 @@ def _shape(line: Column, no: Column, title: Column) -> list[Column]:
     kind = kind.when(lower, w["lower"]).when(words.between(1, 3), w["heading"]).otherwise(0.0)
     parts = [(head, w["title_line"]), (dated, w["date"]), (s.contains(" | ") | s.contains(" › "), w["separators"])]
     base = sum((F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0) for c, v in parts), kind)
-    like = (words <= 8) & ~sentence & s.rlike(r" · | — |^[IVXLC]+\. ")
+    like = (words <= 8) & ~sentence & s.rlike(r" · | — |(?:^|: )[IVXLC]+\. ")
     return [base.alias("base"), (entry | lower).alias("soft"), like.alias("like"), (sentence & (words >= 3)).alias("prose"), (s == "").alias("blank")]
 
 
