@@ -7,14 +7,19 @@ combined by a weighted geometric mean.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators.keyed import exact_medians, total_before
-from quillspark.session import durable, join_spread
+from quillspark.session import broadcast_if_small, durable, join_spread
 
 #: Makes the median absolute deviation of a normal sample estimate its standard deviation (fixed value).
 MAD_TO_SD = 1.4826
+#: Rows that one task holds easily: lists and rankings of up to so many are worked out by windows, longer ones spread over tasks, to the same values.
+TASK_ROWS = 200_000
 KEYS = ["query_id", "mode"]
 
 
@@ -33,6 +38,30 @@ def latest_hits(hits: DataFrame) -> DataFrame:
     return by_time.groupBy("query_id", "mode", "doc_id").agg(F.max_by("score", "at").alias("score"))
 
 
+def _apart(rows: DataFrame, keys: list[str], most: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`short` over the groups of up to `most` rows, `long` over the others; both give the same values."""
+    large = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*keys))
+    if large.isEmpty():
+        return short(rows)
+    if most == 0:
+        return long(rows)
+    large = broadcast_if_small(large, 64)
+    return short(rows.join(large, keys, "left_anti")).unionByName(long(rows.join(large, keys, "left_semi")))
+
+
+def _by_window(lists: DataFrame, by: str) -> DataFrame:
+    """Adds x, and the median, deviations and lowest x of its list, by windows over lists that a task holds."""
+    one = W.partitionBy(*KEYS)
+    if by == "place":
+        ties = F.count(F.lit(1)).over(W.partitionBy(*KEYS, "score"))
+        lists = lists.withColumn("x", -(2 * F.rank().over(one.orderBy(F.desc("score"))) + ties - 1).cast("bigint"))
+    else:
+        lists = lists.withColumn("x", F.col("score"))
+    apart = F.abs(F.col("x") - F.col("med"))
+    lists = lists.withColumn("med", F.median("x").over(one)).withColumn("mad", F.median(apart).over(one))
+    return lists.withColumn("mean_dev", F.avg(apart).over(one)).withColumn("low", F.min("x").over(one))
+
+
 def _by_selection(lists: DataFrame, by: str) -> DataFrame:
     """Adds x, and the median, deviations and lowest x of its list: range-partitioned sums for places, exact distributed selection for
     medians, so that a list is never brought into one task."""
@@ -51,7 +80,7 @@ def _by_selection(lists: DataFrame, by: str) -> DataFrame:
     return join_spread(lists, durable(middle.join(spread, KEYS).join(lowest, KEYS)), KEYS, 128, "doc_id")
 
 
-def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: str = "place", steepness: float = 1.0) -> DataFrame:
+def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: str = "place", steepness: float = 1.0, task_rows: int = TASK_ROWS) -> DataFrame:
     """(query_id, doc_id, fused, n_lists, place): the combined ranking of each query.
 
     `by="score"` standardises the scores themselves, `by="place"` the places of a list (only the order
@@ -59,14 +88,15 @@ def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: st
     a logistic curve. A document absent from a list gets the value one place below its last entry
     (by score: one deviation below the lowest); lists a query does not have say nothing. A list whose MAD is 0 (all
     tied, or a single hit) is scaled by its mean absolute deviation, or by 1 if that is 0 too. `weights` by mode, default 1
-    each, must not be negative; the mean is weighted geometric: exp(sum w*ln v / sum w). Ties in `fused` are ordered by doc_id.
+    each, must not be negative; lists and rankings of more than `task_rows` rows are never brought into one task: places come from
+    range-partitioned sums, medians from exact distributed selection. The mean is weighted geometric: exp(sum w*ln v / sum w). Ties in `fused` are ordered by doc_id.
     """
     if by not in ("place", "score"):
         raise ValueError("by is 'place' or 'score'")
     if any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights must not be negative")
     lists = durable(latest_hits(hits))
-    placed = _by_selection(lists, by)
+    placed = _apart(lists, KEYS, task_rows, lambda rows: _by_window(rows, by), lambda rows: _by_selection(rows, by))
     step = 2.0 if by == "place" else None  # places are doubled
     scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SD).when(F.col("mean_dev") > 0, F.col("mean_dev")).otherwise(F.lit(step or 1.0))
     below = (F.col("low") - (F.lit(step) if step else F.col("scale")) - F.col("med")) / F.col("scale")
@@ -88,5 +118,6 @@ def fuse_scores(hits: DataFrame, weights: dict[str, float] | None = None, by: st
     out = join_spread(gain, floor, ["query_id"], 64, "doc_id").withColumn("fused", F.when(F.col("w_all") > 0, F.exp((F.col("none") + F.col("gain")) / F.col("w_all"))).otherwise(F.lit(0.0)))
     out = out.select("query_id", "doc_id", "fused", "n_lists")
     order = [F.desc(F.round("fused", 12)), F.col("doc_id")]
-    placed = total_before(out, ["query_id"], order).withColumn("place", (F.col("before") + 1).cast("int"))
-    return placed.select("query_id", "doc_id", "fused", "n_lists", "place")
+    short = lambda rows: rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    long = lambda rows: total_before(rows, ["query_id"], order).withColumn("place", (F.col("before") + 1).cast("int")).drop("before")
+    return _apart(out.select("query_id", "doc_id", "fused", "n_lists"), ["query_id"], task_rows, short, long).select("query_id", "doc_id", "fused", "n_lists", "place")

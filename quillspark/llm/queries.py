@@ -82,6 +82,11 @@ def _p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fuse_scores(table(spark, d, "search_hits"), by="score").select("query_id", "doc_id", F.round("fused", 6).alias("fused"), "n_lists")
 
 
+def _p6_spread(spark: SparkSession, d: str) -> DataFrame:
+    """p6_ranking with every list spread over tasks, as lists are that no task holds."""
+    return fuse_scores(table(spark, d, "search_hits"), by="score", task_rows=0).select("query_id", "doc_id", F.round("fused", 6).alias("fused"), "n_lists", "place")
+
+
 def _p6_found(spark: SparkSession, d: str) -> DataFrame:
     return fuse_scores(table(spark, d, "search_hits")).filter("place <= 5").select("query_id", "doc_id")
 
@@ -163,6 +168,7 @@ QUERIES = {
     "p4_bodies": _p4_bodies,
     "p6_found": _p6_found,
     "p6_ranking": _p6_ranking,
+    "p6_spread": _p6_spread,
     "p7_found": _p7_found,
     "p7_pieces": _p7_pieces,
     "p7_invariants": _p7_invariants,

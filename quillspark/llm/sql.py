@@ -69,6 +69,8 @@ WHERE chunk_id % 100 = 0 AND len(embedding) = 64 AND len([x for x in embedding i
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, doc_id) AS p FROM fused)
 SELECT query_id, doc_id FROM r WHERE p <= 5""",
     "p6_ranking": f"""{_fused('score', 'scale')} SELECT query_id, doc_id, round(fused, 6) AS fused, n_lists FROM fused""",
+    "p6_spread": f"""{_fused('score', 'scale')} SELECT query_id, doc_id, round(fused, 6) AS fused, n_lists,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, doc_id)::INTEGER AS place FROM fused""",
     "p7_found": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\S{1000}\S{1000}\S') THEN 'forced' ELSE 'natural' END AS kind
 FROM documents WHERE length(text) > 2000""",
     "p7_invariants": """SELECT doc_id, length(text) AS n_chars, true AS within_limit, true AS within_overlap, true AS nothing_missing FROM documents WHERE length(text) > 2000""",

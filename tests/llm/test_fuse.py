@@ -62,7 +62,9 @@ def test_a_list_of_most_rows(spark, monkeypatch):
     scores = {d: rng.choice([rng.random(), 0.5, 100 * rng.random()]) for d in range(3000)}
     data = [(1, "a", d, s, 1) for d, s in scores.items()] + [(1, "b", d, rng.random(), 1) for d in range(200)] + [(2, "a", d, rng.random(), 1) for d in range(100)]
     monkeypatch.setattr(session, "small_enough", lambda *_: False)
-    got = {r.doc_id: r for r in fuse_scores(hits(spark, data), {"b": 0.0}).filter("query_id = 1").collect()}
+    got, spread = ({(r.query_id, r.doc_id): r for r in fuse_scores(hits(spark, data), {"b": 0.0}, task_rows=n).collect()} for n in (200_000, 500))
+    assert {k: (round(r.fused, 9), r.place) for k, r in got.items()} == {k: (round(r.fused, 9), r.place) for k, r in spread.items()}
+    got = {d: r for (q, d), r in spread.items() if q == 1}
     order = sorted(scores.values(), reverse=True)
     place = {s: order.index(s) + (order.count(s) + 1) / 2 for s in set(order)}
     x = {d: -place[s] for d, s in scores.items()}
