@@ -1,4 +1,4 @@
-"""URL functions: canonical form, origin, host. Arrow UDFs, since the rules need a real URL parser."""
+"""URL functions: canonical form as an Arrow UDF, since its rules need a real URL parser; host and origin as Columns."""
 
 from __future__ import annotations
 
@@ -39,14 +39,6 @@ def host(url: str) -> str:
         return ""
 
 
-def origin(url: str) -> str:
-    try:
-        parts = urlsplit(url)
-    except ValueError:
-        return "://"
-    return f"{parts.scheme}://{parts.netloc}"
-
-
 def _mapped(fn, c: Column) -> Column:  # noqa: ANN001
     @F.pandas_udf("string")
     def apply(urls: pd.Series) -> pd.Series:
@@ -59,9 +51,16 @@ def canonical_url(c: Column) -> Column:
     return _mapped(canonical, c)
 
 
+#: Scheme and authority of a URL.
+_SCHEME, _PLACE = r"^([A-Za-z][A-Za-z0-9+.\-]*):", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+
+
 def url_host(c: Column) -> Column:
-    return _mapped(host, c)
+    """The host in lower case, without user, port and brackets; empty where there is none."""
+    place = F.regexp_replace(F.regexp_extract(F.trim(c), _PLACE, 1), r"^.*@", "")
+    return F.lower(F.coalesce(F.nullif(F.regexp_extract(place, r"^\[([^\]]*)", 1), F.lit("")), F.regexp_extract(place, r"^([^:\[]*)", 1)))
 
 
 def url_origin(c: Column) -> Column:
-    return _mapped(origin, c)
+    """Scheme and authority, as in scheme://host:port."""
+    return F.concat(F.lower(F.regexp_extract(F.trim(c), _SCHEME, 1)), F.lit("://"), F.regexp_extract(F.trim(c), _PLACE, 1))

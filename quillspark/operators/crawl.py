@@ -49,6 +49,13 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = AGENT) -> Da
     return rows.withColumn("verdict", judge("url", F.col("status").cast("int"), "body")).drop("origin", "status", "body")
 
 
+def fetch_robots(origins: DataFrame, fetch: Fetch) -> DataFrame:
+    """(origin, status, body): the robots.txt of origins(origin), asked for like any page; status null where nothing answered."""
+    asked = origins.select("origin", F.concat("origin", F.lit("/robots.txt")).alias("url"))
+    got = fetch(asked.select("url")).select("url", "status", F.make_valid_utf8(F.col("body").cast("string")).alias("body"))
+    return asked.join(got, "url", "left").select("origin", "status", "body")
+
+
 def retryable(status: Column, error: Column) -> Column:
     """Whether an attempt may be repeated: timeouts, 429 and 5xx; all else is final."""
     return F.coalesce(error == "timeout", F.lit(False)) | F.coalesce((status == 429) | status.between(500, 599), F.lit(False))
@@ -102,10 +109,10 @@ def settle_attempts(attempts: DataFrame, most: int = 3) -> DataFrame:
     return last.withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
 
 
-def crawl(spark: SparkSession, seeds: list[str], fetch: Fetch, robots: DataFrame, max_pages: int = 500, domains: list[str] | None = None, agent: str = AGENT) -> DataFrame:
+def crawl(spark: SparkSession, seeds: list[str], fetch: Fetch, robots: DataFrame | None = None, max_pages: int = 500, domains: list[str] | None = None, agent: str = AGENT) -> DataFrame:
     """(url, title, text, fetched_at) of the pages reached from the seeds.
 
-    The budget counts scheduled URLs, denied and failed ones included. Only the seeds' hosts (or `domains`) are followed. URLs are scheduled in
+    `robots` holds the answers of all origins; without it each origin's is fetched when a page of it is first due. The budget counts scheduled URLs, denied and failed ones included. Only the seeds' hosts (or `domains`) are followed. URLs are scheduled in
     the order of their parents and of the links on them, each canonical URL once; two URLs that redirect to one page give one page. The schedule is
     bounded by the budget; pages stay distributed.
     """
@@ -114,8 +121,14 @@ def crawl(spark: SparkSession, seeds: list[str], fetch: Fetch, robots: DataFrame
     start = [u for u in start if host(u) in allowed][:max_pages]
     frontier = spark.createDataFrame([(i, u) for i, u in enumerate(start)], "place bigint, url string")
     seen, scheduled, found = frontier.select("url"), len(start), None
+    known = robots
     while scheduled and not frontier.isEmpty():
-        asked = robots_allowed(frontier, robots, agent).filter("verdict = 'allowed'").drop("verdict")
+        if robots is None:
+            origins = frontier.select(url_origin(F.col("url")).alias("origin")).distinct()
+            fresh = origins if known is None else origins.join(known, "origin", "left_anti")
+            answers = durable(fetch_robots(fresh, fetch))
+            known = answers if known is None else known.unionByName(answers)
+        asked = robots_allowed(frontier, known, agent).filter("verdict = 'allowed'").drop("verdict")
         got = fetch(asked.select("url")).join(asked, "url").filter(F.col("status").between(200, 299))
         got = got.withColumn("final", canonical_url(F.coalesce("final_url", "url")))
         got = got.filter(url_host(F.col("final")).isin(allowed) & is_html(F.col("content_type"), F.col("body")))

@@ -136,6 +136,12 @@ SELECT doc_id, unnest(range(len(ps)))::INTEGER AS no, unnest(ps) AS paragraph FR
 SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024) ELSE printf('%.1f MiB', n / 1048576) END AS size FROM b""",
     "chunk_windows": f"""WITH {INDEX}, w AS (SELECT doc_id, tk, unnest(range(CASE WHEN len(tk) = 0 THEN 0 WHEN len(tk) <= 256 THEN 1 ELSE 1 + ceil((len(tk) - 256) / 224)::BIGINT END)) AS i FROM t)
 SELECT doc_id, i::INTEGER AS chunk_no, array_to_string(tk[i * 224 + 1 : i * 224 + 256], ' ') AS text FROM w""",
+    "url_canonical": r"""WITH u AS (SELECT page_no, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS place,
+  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, list_sort(list_concat(['a=1'], CASE WHEN url LIKE '%?%' THEN string_split(regexp_extract(url, '\?([^#]*)', 1), '&') ELSE ['b=2'] END)) AS query FROM pages)
+SELECT page_no, 'https://' || lower(place) || coalesce(nullif(rtrim(path, '/'), ''), '/') || '?' || array_to_string(query, '&') AS canonical, lower(regexp_replace(place, ':\d+$', '')) AS host,
+  scheme || '://' || place AS origin FROM u""",
+    "chunk_encoding": f"""WITH {INDEX}, w AS (SELECT doc_id, unnest(range(CASE WHEN len(tk) = 0 THEN 0 WHEN len(tk) <= 128 THEN 1 ELSE 1 + ceil((len(tk) - 128) / 112)::BIGINT END)) AS i FROM t)
+SELECT doc_id, i::INTEGER AS chunk_no, 1.0::DOUBLE AS length FROM w""",
     "l2_normalize": """SELECT vec_id, 1.0::DOUBLE AS length, round((embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::DOUBLE, 5) AS first FROM embeddings""",
     "semantic_topk": f"""WITH {_NEAR} SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM near QUALIFY rank <= 10""",
     "semantic_titles": f"""WITH {INDEX}, {_QUERY_VECTOR}, hit AS (SELECT vec_id * 3 AS doc_id, round(max(list_dot_product(embedding::DOUBLE[], qv)), 6) AS score FROM embeddings, q GROUP BY 1),

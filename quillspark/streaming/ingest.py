@@ -27,7 +27,7 @@ def index_stream(docs: DataFrame, folder: str, checkpoint: str, trigger: dict |
         try:
             kept = full.select("doc_id", F.lit(None).cast("string").alias("path"), title(F.col("text")).alias("title"), F.size("toks").alias("dl"), "text")
             # postings first: a document counts as stored once its row in docs exists
-            postings_of(full).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+            postings_of(full).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/batch={number}")
             kept.write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
         finally:
             full.unpersist()
@@ -44,7 +44,10 @@ def _read(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def streamed_index(spark: SparkSession, folder: str) -> SearchIndex:
-    """The index over everything streamed so far; terms and statistics are aggregated on reading."""
+    """The index over everything streamed so far; terms and statistics are aggregated on reading.
+
+    Batches stay apart, each with its postings by bucket. save_index of this index compacts them: one table by bucket, with terms and statistics.
+    """
     docs, postings = (spark.read.parquet(f"{folder}/{p}").drop("batch") for p in ("docs", "postings"))
     terms = _terms_of(postings)
     return SearchIndex(docs, postings, terms, _stats_of(docs, terms))

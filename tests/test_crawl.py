@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import html, http
-from quillspark.functions.urls import canonical
+from quillspark.functions.urls import canonical, url_host, url_origin
 from quillspark.operators.crawl import crawl, paced_fetch, robots_allowed, settle_attempts
 
 
@@ -25,6 +25,16 @@ def test_canonical(url, expected):
     assert canonical(url) == expected
 
 
+def test_host_and_origin(spark):
+    cases = [
+        ("HTTPS://U:p@Quay.Example:8443/x?y@z", "quay.example", "https://U:p@Quay.Example:8443"), ("http://[2001:DB8::1]:80/", "2001:db8::1", "http://[2001:DB8::1]:80"),
+        ("http://b.com?x", "b.com", "http://b.com"), ("mailto:x@y", "", "mailto://"), ("/only/path", "", "://"), ("", "", "://"), (None, None, None),
+    ]
+    df = spark.createDataFrame(cases, "u string, host string, origin string")
+    for r in df.withColumns({"h": url_host(F.col("u")), "o": url_origin(F.col("u"))}).collect():
+        assert (r.h, r.o) == (r.host, r.origin), r.u
+
+
 def test_page():
     page = html.parse_page(
         "http://a.com/dir/",
@@ -99,3 +109,34 @@ def test_paced_fetch(spark):
         "http://a.com/ok": (200, 1, None), "http://a.com/busy": (200, 3, None), "http://b.com/gone": (404, 1, None), "http://b.com/down": (500, 3, None),
         "http://c.com/slow": (None, 3, "timeout"), "http://c.com/odd": (None, 1, "ConnectionError"),
     }
+
+
+def test_crawl_of_a_live_site(tmp_path, spark, capsys):
+    """Pages of a server in this process, whose rules are fetched and obeyed."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    from quillspark.__main__ import main
+
+    site = {"/robots.txt": ("text/plain", "User-agent: *\nDisallow: /attic"), "/hall": ("text/html", "<title>Hall</title>a <a href='/attic'>x</a><a href='/cellar'>y</a><a href='/gone'>z</a>"), "/cellar": ("text/html", "<title>Cellar</title>b"), "/attic": ("text/html", "c")}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, body = site.get(self.path, ("text/html", ""))
+            self.send_response(200 if self.path in site else 404)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://127.0.0.1:{server.server_port}"
+        assert main(["crawl", f"{root}/hall", "--out", str(tmp_path / "pages"), "--min-delay", "0", "--max-pages", "9"]) == 0
+        assert {(r.url, r.title) for r in spark.read.json(str(tmp_path / "pages")).collect()} == {(f"{root}/hall", "Hall"), (f"{root}/cellar", "Cellar")}
+        assert "2 pages" in capsys.readouterr().out
+    finally:
+        server.shutdown()
