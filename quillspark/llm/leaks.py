@@ -207,10 +207,9 @@ def holds(taken: np.ndarray, edits: np.ndarray, min_words: int, one_in: int) ->
     return bool(np.any(p[1:][ok] >= np.minimum.accumulate(opens)[start[ok]]))
 
 
-def may_hold(stretches: np.ndarray, words: np.ndarray, min_words: int, one_in: int) -> np.ndarray:
-    """Which rows of stretches have a window that `words` could hold, by the words alone: every unchanged word must be among them."""
-    known = np.isin(stretches, words)
-    p = np.concatenate((np.zeros((len(known), 1), np.int32), np.cumsum(np.where(known, 1, 1 - one_in), axis=1)), axis=1)
+def may_hold(known: np.ndarray, min_words: int, one_in: int) -> np.ndarray:
+    """Which rows have a window that a place could hold, by the words alone: known[i, j] says that the place has word j of stretch i somewhere."""
+    p = np.concatenate((np.zeros((len(known), 1), np.int32), np.cumsum(np.where(known, np.int32(1), np.int32(1 - one_in)), axis=1, dtype=np.int32)), axis=1)
     if p.shape[1] <= min_words:
         return np.zeros(len(known), bool)
     return (p[:, min_words:] >= np.minimum.accumulate(p, axis=1)[:, :-min_words]).any(axis=1)
@@ -227,37 +226,63 @@ def longest_run(a: np.ndarray, b: np.ndarray, shift: int) -> int:
 _PAD_A, _PAD_B = np.int64(-2), np.int64(-1)
 
 
+class _Words:
+    """The stretches of one bucket as rows of numbers of their distinct words."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        block = np.full((len(rows), max(map(len, rows))), _PAD_A)
+        for k, row in enumerate(rows):
+            block[k, : len(row)] = row
+        self.words, inverse = np.unique(block, return_inverse=True)
+        self.numbers = inverse.reshape(block.shape)
+
+    def known(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether `place` has each word of these stretches."""
+        held = np.zeros(len(self.words), bool)
+        at = np.searchsorted(self.words, place)
+        at[at == len(self.words)] = 0
+        held[at[self.words[at] == place]] = True
+        return held[self.numbers[rows]]
+
+
 def _decide(places: pa.Table, pairs: pa.Table, min_words: int, one_in: int) -> pa.Table:
-    """(row, doc_id, item_id, score) of the pairs of one bucket that hold."""
-    number = {seg: i for i, seg in enumerate(places.column("seg").to_pylist())}
-    texts = places.column("words").combine_chunks() if places.num_rows else None
+    """(row, doc_id, item_id, score) of the pairs of one bucket that hold; rows of pairs without a seg bring the words of a stretch."""
     rows: list[tuple[int, int, int]] = []
-    by: dict[int, list[int]] = {}
-    for i, seg in enumerate(pairs.column("seg").to_pylist()):
-        by.setdefault(number[seg], []).append(i)
-    item, lo_, hi_, common = (pairs.column(c).to_pylist() for c in ("item_id", "lo", "hi", "common"))
-    stretches = pairs.column("words").combine_chunks() if pairs.num_rows else None
     tasks = []
-    for at, mine in by.items():
-        b = np.asarray(texts[at].values)
-        a = {i: np.asarray(stretches[i].values) for i in mine}
-        doubtful = [i for i in mine if common[i]]
-        if doubtful:
-            block = np.full((len(doubtful), max(len(a[i]) for i in doubtful)), _PAD_A)
-            for k, i in enumerate(doubtful):
-                block[k, : len(a[i])] = a[i]
-            hopeless = {i for i, ok in zip(doubtful, may_hold(block, b, min_words, one_in), strict=True) if not ok}
-            mine = [i for i in mine if i not in hopeless]
-        for i in mine:
-            run = longest_run(a[i], b, lo_[i]) if lo_[i] == hi_[i] else 0
-            if run >= min_words:  # an unbroken copy
-                rows.append((at, item[i], run))
-                continue
-            margin = len(a[i]) // 5 + 2
-            lo, hi = max(lo_[i] - margin, 0), min(hi_[i] + len(a[i]) + margin, len(b))
-            # a long stretch of repeated seeds is aligned in overlapping parts of bounded length
-            for part in range(lo, max(lo + 1, hi - 2 * STRETCH), 2 * STRETCH):
-                tasks.append((at, item[i], a[i], b[part : min(hi, part + 4 * STRETCH)]))
+    brought = np.asarray(pairs.column("seg").is_null()) if pairs.num_rows else np.zeros(0, bool)
+    if brought.any():
+        texts = places.column("words").combine_chunks()
+        number = {seg: i for i, seg in enumerate(places.column("seg").to_pylist())}
+        given = pairs.filter(pa.array(brought))
+        words = given.column("words").combine_chunks()
+        stretches = [np.asarray(words[i].values) for i in range(given.num_rows)]
+        of = {key: i for i, key in enumerate(zip(given.column("item_id").to_pylist(), given.column("stretch").to_pylist(), strict=True))}
+        asked = pairs.filter(pa.array(~brought)).sort_by("seg")
+        item = asked.column("item_id").to_pylist()
+        which = np.fromiter((of[k] for k in zip(item, asked.column("stretch").to_pylist(), strict=True)), np.int64, asked.num_rows)
+        seg, lo_, hi_, common = (np.asarray(asked.column(c)) for c in ("seg", "lo", "hi", "common"))
+        every = _Words(stretches) if common.any() else None
+        starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(seg) else np.zeros(0, np.int64)
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(seg)], strict=True):
+            at = number[int(seg[start])]
+            b = np.asarray(texts[at].values)
+            mine = np.arange(start, stop)
+            doubtful = mine[common[start:stop]]
+            if len(doubtful):
+                step = max(1, (1 << 22) // every.numbers.shape[1])
+                ok = [may_hold(every.known(which[doubtful[k : k + step]], b), min_words, one_in) for k in range(0, len(doubtful), step)]
+                mine = np.concatenate((mine[~common[start:stop]], doubtful[np.concatenate(ok)]))
+            for i in mine.tolist():
+                a, lo, hi = stretches[which[i]], int(lo_[i]), int(hi_[i])
+                run = longest_run(a, b, lo) if lo == hi else 0
+                if run >= min_words:  # an unbroken copy
+                    rows.append((at, item[i], run))
+                    continue
+                margin = len(a) // 5 + 2
+                lo, hi = max(lo - margin, 0), min(hi + len(a) + margin, len(b))
+                # a long stretch of repeated seeds is aligned in overlapping parts of bounded length
+                for part in range(lo, max(lo + 1, hi - 2 * STRETCH), 2 * STRETCH):
+                    tasks.append((at, item[i], a, b[part : min(hi, part + 4 * STRETCH)]))
     tasks.sort(key=lambda t: (len(t[2]), len(t[3])))
     for k in range(0, len(tasks), 128):
         some = tasks[k : k + 128]
@@ -301,11 +326,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     shift = F.col("at") - F.col("place")
     pairs = hits.groupBy("seg", "item_id", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(shift).alias("lo"), F.max(shift).alias("hi"), (F.min("items") > RARE).alias("common"))
     pairs = written(pairs.filter(F.col("n") >= MIN_SEEDS))
-    pairs = pairs.join(broadcast_if_small(stretches.select("item_id", "stretch", "words"), 1200), ["item_id", "stretch"])
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("seg"), F.lit(buckets)).alias("bucket")
+    # the words of a stretch go to a bucket once, however many places it is paired with there
+    wanted = pairs.select(bucket, "item_id", "stretch").distinct().join(broadcast_if_small(stretches.select("item_id", "stretch", "words"), 1200), ["item_id", "stretch"])
+    asked = pairs.select(bucket, "seg", "item_id", "stretch", "lo", "hi", "common")
     left = places.select(bucket, "row", "seg", "doc_id", "words").groupBy("bucket")
-    right = pairs.select(bucket, "seg", "item_id", "lo", "hi", "common", "words").groupBy("bucket")
+    right = asked.unionByName(wanted, allowMissingColumns=True).groupBy("bucket")
     id_type = texts.schema["doc_id"].dataType.simpleString()
     found = left.cogroup(right).applyInArrow(lambda a, b: _decide(a, b, min_words, one_in), f"row bigint, doc_id {id_type}, item_id bigint, score int")
     return found.groupBy("row", "doc_id", "item_id").agg(F.max("score").alias("score")).drop("row")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import leaks
-from quillspark.llm.leaks import find_leaks, holds, longest_run, may_hold, passage, plain_words
+from quillspark.llm.leaks import _Words, find_leaks, holds, longest_run, may_hold, passage, plain_words
 from quillspark.llm.mainbody import NEAR, NEXT, cut_lines, main_lines
 
 
@@ -133,8 +133,12 @@ def test_a_line_shared_by_many_items(spark, monkeypatch):
 def test_word_tests():
     a = np.arange(40)
     assert longest_run(a, np.concatenate((a[5:25], a[26:])), -5) == 20 and longest_run(a, a + 100, 0) == 0
-    rows = np.stack([a, a + 30, a + 100])
-    assert may_hold(rows, a, 18, 10).tolist() == [True, False, False] and may_hold(rows, np.delete(a, [3, 12, 22, 33]), 18, 10).tolist()[0]
+    words = _Words([a, a + 30, (a + 100)[:25]])
+    for place in (a, np.delete(a, [3, 12, 22, 33]), a + 35, np.zeros(0, np.int64)):
+        known = words.known(np.arange(3), place)
+        assert (known[:, :25] == np.isin(np.stack([a, a + 30, a + 100])[:, :25], place)).all() and not known[2, 25:].any()
+    assert may_hold(words.known(np.arange(3), a), 18, 10).tolist() == [True, False, False]
+    assert may_hold(words.known(np.arange(3), np.delete(a, [3, 12, 22, 33])), 18, 10).tolist() == [True, False, False]
 
 
 def test_window_rule():
