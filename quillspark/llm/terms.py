@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import fold
 from quillspark.operators.postings import document_lengths, latest_postings
-from quillspark.session import join_spread
+from quillspark.session import small_enough
 
 #: Slices that the rows of one term are spread over.
 SLICES = 64
@@ -61,7 +61,10 @@ def distinctive_terms(postings: DataFrame, doc_lengths: DataFrame, docs_meta: Da
     lens = document_lengths(doc_lengths).filter("doc_id is not null")
     size = docs_meta.agg(F.count(F.lit(1)).alias("n")).crossJoin(lens.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")))
     scalars = size.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).otherwise(F.lit(0.0)).alias("avgdl"))
-    rows = join_spread(held.join(back, ["term", "slice"]), lens, ["doc_id"], 48, "term", "left").crossJoin(F.broadcast(scalars))
+    # summed, a document has one row per term at most and is hot no more: lengths too many for a broadcast are sent once and meet
+    # the rows in one exchange on doc_id, after which groupings per document need none
+    lens = F.broadcast(lens) if small_enough(lens, 48) else lens.hint("shuffle_hash")
+    rows = held.join(back, ["term", "slice"]).join(lens, "doc_id", "left").crossJoin(F.broadcast(scalars))
     rows = rows.withColumns({"dl": F.coalesce("dl", F.lit(0)), "n": F.greatest("n", F.lit(1))})
     col = F.col
     return rows.select("doc_id", "term", "tf", "df", "cf", "dl", "n", "avgdl", dfr_weight(col("tf"), col("dl"), col("n"), col("cf"), col("avgdl"), c).alias("weight"))

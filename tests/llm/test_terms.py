@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import terms
 from quillspark.llm.terms import bm25_weight, distinctive_terms, leading_terms, term_frequencies
 
 SCHEMA = "partial_no int, term string, doc_id bigint, tf int, positions array<int>, built_at bigint, weight int, slice int"
@@ -64,6 +65,22 @@ def test_weights_against_plain_python(spark):
     assert {tuple(r) for r in best.collect()} == want
 
 
+def test_many_lengths_are_sent_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 3, -70, 9)], "doc_id bigint")
+    lengths = spark.createDataFrame(LENGTHS, "partial_no int, doc_id bigint, dl int")
+    c = F.col
+    got, plans = [], []
+    for small in (True, False):
+        monkeypatch.setattr(terms, "small_enough", lambda *_, small=small: small)
+        scored = distinctive_terms(frame(spark, ROWS), lengths, docs)
+        best = leading_terms(scored, bm25_weight(c("tf"), c("df"), c("dl"), c("n"), c("avgdl")))
+        got.append((sorted(map(tuple, scored.collect())), sorted(map(tuple, best.collect()))))
+        plans.append(best._jdf.queryExecution().sparkPlan().toString())
+    assert got[0] == got[1] and len(got[1][0]) == len(reference()) and got[1][1]
+    # the one row generator left sends totals back to their slices; no copies of lengths, no second key to spread by
+    assert "ShuffledHashJoin [doc_id" in plans[1] and [p.count("Generate explode") for p in plans] == [1, 1]
+
+
 def test_frequencies(spark):
     held = reference()
     df, tf = Counter(t for _, t in held), Counter()
